@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, urls
+from . import chat, packing, quality, tokens, urls
+
+BPE, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+
+
+def vocabulary(name: str) -> bytes:
+    """A public tokenizer file's bytes, read where the driver runs."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +33,27 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def pack(docs: DataFrame) -> DataFrame:
+    """Pieces of all documents, packed with the production limits."""
+    import public_tokenizers
+
+    added = tokens.Vocabulary(vocabulary(BPE)).added
+    return packing.pack_documents(docs, vocabulary(RANKS), public_tokenizers.PATTERN, added)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, vocab = table(spark, sf_dir, "documents"), vocabulary(BPE)
+    lexicon = tokens.build_lexicon(docs, vocab)
+    back = tokens.decode_ids(tokens.encode_texts(docs, vocab, lexicon), vocab)
+    return back.select(F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -33,7 +64,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_chat": op1_chat, "op5_quality": op5_quality, "op10_urls": op10_urls}
+QUERIES = {"op1_chat": op1_chat, "op2_packing": op2_packing, "op5_quality": op5_quality, "op6_tokens": op6_tokens, "op10_urls": op10_urls}
 
 _ESCAPED = rf"regexp_replace(replace(%s, '\', '\\'), '{chat.ESCAPE_PATTERN}', '\1\\\2', 'g')"
 _WS = r"[\x20\x09-\x0D]+"
