@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, quality, tokens, urls
+from . import chat, language, licences, packing, quality, tokens, urls
+from .shared import held_out
 
 BPE, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
@@ -54,6 +55,17 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licences.scan_licences(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.identify(docs, language.fit(docs))
+    return out.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -64,7 +76,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_packing": op2_packing, "op5_quality": op5_quality, "op6_tokens": op6_tokens, "op10_urls": op10_urls}
+QUERIES = {"op1_chat": op1_chat, "op2_packing": op2_packing, "op3_licences": op3_licences, "op5_quality": op5_quality, "op6_tokens": op6_tokens, "op9_language": op9_language, "op10_urls": op10_urls}
 
 _ESCAPED = rf"regexp_replace(replace(%s, '\', '\\'), '{chat.ESCAPE_PATTERN}', '\1\\\2', 'g')"
 _WS = r"[\x20\x09-\x0D]+"
