@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, licences, packing, quality, tokens, urls
+from . import chat, language, licences, packing, quality, tokens, toxicity, urls
 from .shared import held_out
 
 BPE, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -60,6 +60,12 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.judge(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", "predicted")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language.identify(docs, language.fit(docs))
@@ -76,7 +82,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_packing": op2_packing, "op3_licences": op3_licences, "op5_quality": op5_quality, "op6_tokens": op6_tokens, "op9_language": op9_language, "op10_urls": op10_urls}
+QUERIES = {"op1_chat": op1_chat, "op2_packing": op2_packing, "op3_licences": op3_licences, "op5_quality": op5_quality, "op6_tokens": op6_tokens, "op7_toxicity": op7_toxicity, "op9_language": op9_language, "op10_urls": op10_urls}
 
 _ESCAPED = rf"regexp_replace(replace(%s, '\', '\\'), '{chat.ESCAPE_PATTERN}', '\1\\\2', 'g')"
 _WS = r"[\x20\x09-\x0D]+"
