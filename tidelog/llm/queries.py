@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, licences, packing, quality, tokens, toxicity, urls
+from . import chat, embeddings, jaccard, language, licences, packing, quality, tokens, toxicity, urls
 from .shared import held_out
 
 BPE, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -66,6 +66,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", "predicted")
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language.identify(docs, language.fit(docs))
@@ -82,7 +92,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_packing": op2_packing, "op3_licences": op3_licences, "op5_quality": op5_quality, "op6_tokens": op6_tokens, "op7_toxicity": op7_toxicity, "op9_language": op9_language, "op10_urls": op10_urls}
+QUERIES = {"op1_chat": op1_chat, "op2_packing": op2_packing, "op3_licences": op3_licences, "op5_quality": op5_quality, "op6_tokens": op6_tokens, "op4_jaccard": op4_jaccard, "op8_embeddings": op8_embeddings, "op7_toxicity": op7_toxicity, "op9_language": op9_language, "op10_urls": op10_urls}
 
 _ESCAPED = rf"regexp_replace(replace(%s, '\', '\\'), '{chat.ESCAPE_PATTERN}', '\1\\\2', 'g')"
 _WS = r"[\x20\x09-\x0D]+"
@@ -120,4 +130,23 @@ p AS (SELECT m, CASE WHEN q - m * m > 1e-12 THEN greatest(1.0, least(1e6, m * (1
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND (failed + m * k) / (n + k) <= {quality.HOST_LIMIT} AS kept
 FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, p""",
+    "op4_jaccard": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WS}'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+3], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(root) AS component_id FROM r GROUP BY node) c ON c.node = d.doc_id""",
+    "op8_embeddings": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.93),
+r AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node),
+k AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, c.component_id, vec_id = c.component_id AS kept
+FROM embeddings LEFT JOIN k ON k.a = vec_id JOIN c ON c.node = vec_id""",
 }
