@@ -8,7 +8,8 @@ brought together for the tree by signatures that no pair can miss:
     at least is the same in both, so the pair shares a signature (size class, group, hash of the group's elements).
 
 Before that, a few min-hash rounds join most near copies, verified as well. Then only signatures that still meet different components matter,
-and they are found by a minimum and a maximum for each signature: a group of near copies of any size is never listed in pairs.
+and they are found by a minimum and a maximum for each signature. A document has a signature for each few of its elements, so even a
+group with a third of all documents gives one signature but a small share of all rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import texts
@@ -28,16 +29,19 @@ from .shared import connected_components, save, ship
 
 N = 5
 PERCENT = 80
-#: Coordinates of a point.
-GROUPS = 32
+#: Coordinates of a point, a power of two.
+GROUPS = 128
 #: Rounds of min-hash.
 ROUNDS = 3
 #: Rows of a block in these rounds, and rows of a block of a signature.
 BLOCK = 128
 WIDE_BLOCK = 1024
-LEAF = 16
+LEAF = 32
+QUERIES = 128
 #: Ratio of the limits of a size class.
 RATIO = 1.5
+#: Pairs a task gathers before it hands them on.
+PAIRS = 200_000
 #: Words a worker remembers the hash of.
 MEMORY = 500_000
 
@@ -73,12 +77,22 @@ def shingles(text: str | None, n: int = N) -> np.ndarray:
     k = min(n, len(words))
     out = np.full(len(words) - k + 1, k, _U)
     for at in range(k):
-        out = _mix(out * _U(0x9E3779B97F4A7C15) + h[at : len(h) - k + 1 + at])
-    return np.unique(out)
+        out *= _U(0x9E3779B97F4A7C15)
+        out += h[at : len(h) - k + 1 + at]
+    return np.unique(_mix(out))
 
 
 def points(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> _U(59)).astype(np.int64), minlength=GROUPS)
+    return np.bincount((s >> _U(65 - GROUPS.bit_length())).astype(np.int64), minlength=GROUPS)
+
+
+def _pack(point: np.ndarray) -> bytes:
+    """A point in one byte a coordinate, or in four where one is above 255."""
+    return point.astype(np.uint8 if point.max() < 256 else "<u4").tobytes()
+
+
+def _unpack(point: bytes) -> np.ndarray:
+    return np.frombuffer(point, np.uint8 if len(point) == GROUPS else "<u4")
 
 
 class Sizes:
@@ -121,11 +135,12 @@ def signatures(s: np.ndarray, sizes: Sizes) -> np.ndarray:
     for k in sizes.classes(len(s)):
         t = sizes.differ(k)
         groups = t + 1 if t == 0 else math.ceil(1.1 * (t + 1)) + 2
-        g = (_mix(s ^ _U(0xD1B54A32D192ED03)) % _U(groups)).astype(np.int64)
+        g = (s & _U(0xFFFFFFFFFF)) % _U(groups)
+        g = g.astype(np.uint16 if groups < 1 << 16 else np.int64)  # 16 bits are sorted by radix
         order = np.argsort(g, kind="stable")
         g = g[order]
         at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        sums = np.add.reduceat(_mix(s[order] + _U(0x632BE59BD9B4E019)), at)
+        sums = np.add.reduceat(s[order], at)
         out.append(_mix(sums ^ (g[at].astype(_U) + _U(k + 1) * _U(0x100000001B3))))
         if len(at) <= t:  # all groups that are the same in both may be empty
             out.append(_mix(np.array([k], _U) * _U(0x100000001B3) + _U(0xE7037ED1A0B428DB)))
@@ -172,23 +187,33 @@ class RTree:
         half = len(order) // 2
         return upper, low, high, only, None, (self._build(order[:half]), self._build(order[half:]))
 
-    def search(self, point: np.ndarray, n: int, comp) -> np.ndarray:
-        """Places of points of other components that may link with the one given. Nodes of its own component alone are not entered."""
-        todo, found = [self.root], []
-        smallest, largest = self.sizes.smallest(n), 100 * n // self.sizes.p
+    def search(self, pts: np.ndarray, n: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of queries and of points of other components that may link. All queries go down together: those that a
+        node's box cannot reach, or whose component alone is below it, stay behind."""
+        left, right = [], []
+        smallest = -(-self.sizes.p * n // 100)
+        largest = 100 * n // self.sizes.p
+        todo = [(self.root, np.arange(len(n)))]
         while todo:
-            upper, low, high, only, at, below = todo.pop()
-            if (only is not None and only == comp) or low > largest or high < smallest:
-                continue
-            if int(np.minimum(point, upper).sum()) < self.sizes.needed(n, max(low, smallest)):
+            (upper, low, high, only, at, below), q = todo.pop()
+            q = q[(low <= largest[q]) & (high >= smallest[q])]
+            if only is not None:
+                q = q[comp[q] != only]
+            q = q[np.minimum(pts[q], upper).sum(axis=1, dtype=np.int64) >= self.sizes.needed(n[q], np.maximum(low, smallest[q]))]
+            if not len(q):
                 continue
             if at is None:
-                todo += below
+                todo += [(node, q) for node in below]
                 continue
-            keep = (self.comp[at] != comp) & (np.minimum(self.pts[at], point).sum(axis=1) >= self.sizes.needed(n, self.n[at]))
-            keep &= (self.n[at] >= smallest) & (self.n[at] <= largest)
-            found.append(at[keep])
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
+            for k in range(0, len(q), QUERIES):
+                part = q[k : k + QUERIES]
+                over = np.minimum(pts[part][:, None, :], self.pts[at][None, :, :]).sum(axis=2, dtype=np.int64)
+                keep = (over >= self.sizes.needed(n[part][:, None], self.n[at][None, :])) & (comp[part][:, None] != self.comp[at][None, :])
+                keep &= (self.n[at][None, :] >= smallest[part][:, None]) & (self.n[at][None, :] <= largest[part][:, None])
+                i, j = np.nonzero(keep)
+                left.append(part[i])
+                right.append(at[j])
+        return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _runs(batches, names: list[str], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -200,7 +225,7 @@ def _runs(batches, names: list[str], keys: int) -> Iterator[tuple[tuple, list[tu
 
 def _sketch(docs: DataFrame, n: int, sizes: Sizes) -> DataFrame:
     """Rows (id, n, f1, f2, keys, sigs, counts): size, fingerprint, min-hashes, signatures and point of each document's set."""
-    seeds = _mix(np.arange(1, ROUNDS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+    seeds = _mix(np.arange(1, ROUNDS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
     def run(batches):
         for ids, part in texts(batches, "id", "text"):
@@ -210,9 +235,9 @@ def _sketch(docs: DataFrame, n: int, sizes: Sizes) -> DataFrame:
                 if not len(s):
                     rows.append((0, 0, 0, None, None, None))
                     continue
-                f1, f2 = (int(_mix(s + _U(k)).sum(dtype=_U).astype(np.int64)) for k in (11, 13))
-                keys = [_mix(s ^ seed).min().astype(np.int64) for seed in seeds]
-                rows.append((len(s), f1, f2, keys, signatures(s, sizes).view(np.int64), points(s).astype("<u4").tobytes()))
+                f1, f2 = np.add.reduce(s).astype(np.int64), np.bitwise_xor.reduce(s).astype(np.int64)
+                keys = (s[None, :] * seeds[:, None]).min(axis=1).view(np.int64)
+                rows.append((len(s), f1, f2, keys, signatures(s, sizes).view(np.int64), _pack(points(s))))
             c = list(zip(*rows))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, k) for x, k in zip(c, kinds))], names=["id", "n", "f1", "f2", "keys", "sigs", "counts"])
@@ -248,25 +273,25 @@ def _candidates(blocks: DataFrame, sizes: Sizes) -> DataFrame:
     names = ["sig", "block", "own", "id", "comp", "n", "counts"]
 
     def run(batches):
+        found: set[tuple[int, int]] = set()
+
+        def flush():
+            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in (0, 1)], names=["a", "b"])
+
         for _, group in _runs(batches, names, 2):
             own = [r for r in group if r[2]]
             if not own or len(group) < 2:
                 continue
-            pts = np.array([np.frombuffer(r[6], "<u4") for r in own]).astype(np.int64)
-            ids, comp = np.array([r[3] for r in own]), np.array([r[4] for r in own])
-            tree = RTree(pts, np.array([r[5] for r in own]), comp, sizes)
-            a, b = [], []
-            for k, r in enumerate(group):
-                at = tree.search(np.frombuffer(r[6], "<u4").astype(np.int64), r[5], r[4])
-                near = ids[at]
-                near = near[near < r[3]] if r[2] else near
-                a += np.minimum(near, r[3]).tolist()
-                b += np.maximum(near, r[3]).tolist()
-                if len(a) > 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                    a, b = [], []
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            pts, n, comp, ids = np.array([_unpack(r[6]) for r in group]), *(np.array([r[k] for r in group]) for k in (5, 4, 3))
+            mine = np.flatnonzero([r[2] for r in group])
+            at, by = RTree(pts[mine], n[mine], comp[mine], sizes).search(pts, n, comp)
+            a, b = ids[mine][by], ids[at]
+            found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+            if len(found) > PAIRS:
+                yield flush()
+        yield flush()
 
     by = ["sig", "block"]
     return blocks.select(*names).repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long").distinct()
@@ -311,11 +336,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = with_set.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
     named = save(with_set.select("id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).select("id", "n", "rep"), "classes")
     reps = named.where("id = rep").select("id", "n").distinct()
-    points_of = with_set.join(reps, ["id", "n"], "left_semi")
     same = named.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
     # rounds of min-hash: blocks of a key
-    keys = save(points_of.select("id", F.posexplode("keys").alias("round", "key")), "keys")
+    keys = with_set.select("id", "n", "keys").join(reps, ["id", "n"], "left_semi")
+    keys = save(keys.select("id", F.posexplode("keys").alias("round", "key")), "keys")
     shared = keys.groupBy("round", "key").agg(F.count("*").alias("rows")).where("rows > 1")
     members = keys.join(shared, ["round", "key"])
     members = members.withColumn("block", F.pmod(F.xxhash64("id", "round"), F.ceil(F.col("rows") / BLOCK)).cast("int"))
@@ -323,19 +348,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = save(_verified_edges(blocks, n, sizes), "edges")
     joined = connected_components(edges)
 
-    # what no signature may miss
-    lab = points_of.join(joined, points_of["id"] == joined["node"], "left").select("id", "n", "counts", "sigs", F.coalesce("component", "id").alias("comp"))
-    lab = save(lab, "labelled")
-    sigs = lab.select("id", "comp", F.explode("sigs").alias("sig"))
-    hot = sigs.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("sig", "rows")
-    hot = save(hot, "hot")
-    members = save(sigs.join(hot, "sig"), "members")
+    # what no signature may miss: those that meet several components
+    lab = save(reps.join(joined, reps["id"] == joined["node"], "left").select("id", "n", F.coalesce("component", "id").alias("comp")), "labelled")
+    sigs = with_set.select("id", "n", "sigs").join(lab, ["id", "n"]).select("id", "comp", F.explode("sigs").alias("sig"))
+    same_sig = Window.partitionBy("sig")
+    members = sigs.select("*", F.min("comp").over(same_sig).alias("lo"), F.max("comp").over(same_sig).alias("hi"), F.count("*").over(same_sig).alias("rows"))
+    members = save(members.where("lo <> hi").select("sig", "id", "comp", "rows"), "members")
     most = members.where(F.col("rows") > WIDE_BLOCK).groupBy("sig", "comp").count().groupBy("sig").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
     members = members.join(most, "sig", "left").withColumn("blocks", F.ceil(F.col("rows") / WIDE_BLOCK).cast("int"))
     members = members.withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     visits = F.when((F.col("blocks") > 1) & (F.col("comp") != F.col("main")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))
-    members = members.select("sig", "id", "home", F.explode(visits).alias("block"))
-    members = members.select("sig", "block", (F.col("home") == F.col("block")).alias("own"), "id").join(lab.select("id", "comp", "n", "counts"), "id")
+    members = members.select("sig", "id", "comp", "home", F.explode(visits).alias("block"))
+    members = members.select("sig", "block", (F.col("home") == F.col("block")).alias("own"), "id", "comp")
+    members = members.join(with_set.select("id", "n", "counts"), "id")
     pairs = save(_candidates(members, sizes), "pairs")
     more = _verified_pairs(pairs, docs, n, sizes)
 
