@@ -29,8 +29,8 @@ def _lines_with_words(text: Column) -> Column:
 
 def _windows(words: Column, hashed: bool) -> Column:
     n = F.size(words)
-    at = lambda i, k: F.element_at(words, i + k)
-    body = (lambda i: F.xxhash64(*(at(i, k) for k in range(WINDOW)))) if hashed else (lambda i: F.array_join(F.slice(words, i, WINDOW), " "))
+    window = lambda i: F.slice(words, i, WINDOW)
+    body = (lambda i: F.xxhash64(window(i))) if hashed else (lambda i: F.array_join(window(i), " "))
     return F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1))), body)).otherwise(F.array())
 
 
