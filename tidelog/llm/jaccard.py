@@ -40,6 +40,8 @@ LEAF = 32
 QUERIES = 128
 #: Ratio of the limits of a size class.
 RATIO = 1.5
+#: Rows from which a signature is wide: a pair of documents that shares several wide ones is handed on at the least of them alone.
+WIDE = 64
 #: Pairs a task gathers before it hands them on.
 PAIRS = 200_000
 #: Words a worker remembers the hash of.
@@ -268,9 +270,10 @@ def _verified_edges(blocks: DataFrame, n: int, sizes: Sizes) -> DataFrame:
 
 
 def _candidates(blocks: DataFrame, sizes: Sizes) -> DataFrame:
-    """Pairs (a, b) of different components that the tree of each block leaves, of rows (sig, block, own, id, comp, n, counts): own rows
-    are in the tree, all rows search it."""
-    names = ["sig", "block", "own", "id", "comp", "n", "counts"]
+    """Pairs (a, b) of different components that the tree of each block leaves, of rows (sig, block, own, id, comp, n, counts, wide): own rows
+    are in the tree, all rows search it. wide holds a document's wide signatures where sig is one, so that each pair leaves one
+    wide signature and not all that it shares."""
+    names = ["sig", "block", "own", "id", "comp", "n", "counts", "wide"]
 
     def run(batches):
         found: set[tuple[int, int]] = set()
@@ -287,6 +290,10 @@ def _candidates(blocks: DataFrame, sizes: Sizes) -> DataFrame:
             pts, n, comp, ids = np.array([_unpack(r[6]) for r in group]), *(np.array([r[k] for r in group]) for k in (5, 4, 3))
             mine = np.flatnonzero([r[2] for r in group])
             at, by = RTree(pts[mine], n[mine], comp[mine], sizes).search(pts, n, comp)
+            if group[0][7] is not None and len(at):
+                wide, sig = [set(r[7]) for r in group], group[0][0]
+                least = [min(wide[i] & wide[j]) == sig for i, j in zip(at.tolist(), mine[by].tolist())]
+                at, by = at[least], by[least]
             a, b = ids[mine][by], ids[at]
             found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
             if len(found) > PAIRS:
@@ -354,13 +361,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same_sig = Window.partitionBy("sig")
     members = sigs.select("*", F.min("comp").over(same_sig).alias("lo"), F.max("comp").over(same_sig).alias("hi"), F.count("*").over(same_sig).alias("rows"))
     members = save(members.where("lo <> hi").select("sig", "id", "comp", "rows"), "members")
+    # a document has as many signatures as its length gives
+    wide = members.where(F.col("rows") > WIDE).groupBy("id").agg(F.collect_set("sig").alias("wide"))
     most = members.where(F.col("rows") > WIDE_BLOCK).groupBy("sig", "comp").count().groupBy("sig").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
     members = members.join(most, "sig", "left").withColumn("blocks", F.ceil(F.col("rows") / WIDE_BLOCK).cast("int"))
     members = members.withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     visits = F.when((F.col("blocks") > 1) & (F.col("comp") != F.col("main")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))
-    members = members.select("sig", "id", "comp", "home", F.explode(visits).alias("block"))
-    members = members.select("sig", "block", (F.col("home") == F.col("block")).alias("own"), "id", "comp")
-    members = members.join(with_set.select("id", "n", "counts"), "id")
+    members = members.select("sig", "id", "comp", "home", (F.col("rows") > WIDE).alias("is_wide"), F.explode(visits).alias("block"))
+    members = members.select("sig", "block", (F.col("home") == F.col("block")).alias("own"), "id", "comp", "is_wide")
+    points_of = with_set.select("id", "n", "counts").join(wide, "id", "left")
+    members = members.join(points_of, "id").withColumn("wide", F.when(F.col("is_wide"), F.col("wide")))
     pairs = save(_candidates(members, sizes), "pairs")
     more = _verified_pairs(pairs, docs, n, sizes)
 
