@@ -27,10 +27,11 @@ def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def orphans(child: DataFrame, columns: list[str], parent: DataFrame, referenced: list[str]) -> DataFrame:
-    """Child rows whose key is not null in any part and has no parent."""
-    on = [child[c] == parent[r] for c, r in zip(columns, referenced)]
+    """Child rows whose key is not null in any part and has no parent; the parent may be the child itself."""
+    named = parent.select(*(F.col(r).alias(f"_parent_{k}") for k, r in enumerate(referenced)))
+    on = [F.col(f"`{c}`") == F.col(f"_parent_{k}") for k, c in enumerate(columns)]
     whole = child.where(F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in columns)))
-    return whole.join(parent.select(*referenced), on, "left_anti")
+    return whole.join(named, on, "left_anti")
 
 
 def broken_parts(expected: DataFrame, actual: DataFrame, at: list[str], hash_col: str) -> DataFrame:
