@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import row_size, with_hash
@@ -39,9 +39,9 @@ def numbered(df: DataFrame, order: list, name: str = "rn") -> DataFrame:
     ranged = save(ranged.withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    # as many rows as partitions: a sum over those before, by a join of that small table with itself
-    before = counts.alias("a").join(F.broadcast(counts.alias("b")), F.col("b._part") < F.col("a._part"), "left")
-    before = before.groupBy("a._part").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
+    # as many rows as partitions, so one task may add them up and all may have them
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     out = ranged.withColumn("_part", part).join(F.broadcast(before), "_part")
     return out.withColumn(name, F.col("_before") + place).drop("_at", "_part", "_before")
 

@@ -46,8 +46,8 @@ def orders_v(spark, sf_dir, k):
 
 def orders_vp2(spark, sf_dir):
     df = orders_v(spark, sf_dir, 1)
-    last = df.agg(F.floor(F.max("o_orderkey") * VP_SHARE).alias("last"))
-    df = df.crossJoin(F.broadcast(last)).where("o_orderkey <= last").drop("last")  # last is one row
+    last = df.agg(F.floor(F.max("o_orderkey") * VP_SHARE)).scalar()
+    df = df.where(F.col("o_orderkey") <= last)
     return df.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 10 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
 
 
