@@ -81,8 +81,9 @@ def host_rates(measured: DataFrame) -> DataFrame:
     prior = hosts.agg((F.sum("failed") / F.sum("n")).alias("m"),
                       (F.sum(F.col("n") * F.col("rate") * F.col("rate")) / F.sum("n")).alias("q"))
     prior = prior.selectExpr("m", "CASE WHEN q - m * m > 1e-12 THEN greatest(1.0D, least(1e6, m * (1 - m) / (q - m * m) - 1)) ELSE 1e6 END AS k")
-    # prior is one row: an aggregate without keys
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "n", "failed", "rate", ((F.col("failed") + F.col("m") * F.col("k")) / (F.col("n") + F.col("k"))).alias("shrunk"))
+    hosts = hosts.withColumn("prior", prior.select(F.struct("m", "k")).scalar())
+    shrunk = (F.col("failed") + F.col("prior.m") * F.col("prior.k")) / (F.col("n") + F.col("prior.k"))
+    return hosts.select("host", "n", "failed", "rate", shrunk.alias("shrunk"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",

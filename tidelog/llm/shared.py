@@ -3,50 +3,22 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIR: dict[str, str] = {}
-_SAVED: list[str] = []
+from ..plans.shared import release, save, shared_dir
+
+__all__ = ["connected_components", "held_out", "lower_ascii", "release", "save", "shared_dir", "ship"]
+
 _SHIPPED: set[str] = set()
 
 #: ASCII white space of the word contracts, [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    key = spark.sparkContext.applicationId
-    if key not in _OWN_DIR:
-        _OWN_DIR[key] = "file://" + tempfile.mkdtemp(prefix="tidelog-")
-    return _OWN_DIR[key]
-
-
-def save(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df once to the shared folder and read it back: later uses neither recompute it nor depend on the
-    executors that made it. release() deletes what was saved."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidelog-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _SAVED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every table that save() wrote; call it once the results that read them are stored."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _SAVED:
-        path = jvm.org.apache.hadoop.fs.Path(_SAVED.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that their Python workers can import it."""
     sc = spark.sparkContext
