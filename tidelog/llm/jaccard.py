@@ -44,6 +44,11 @@ RATIO = 1.5
 WIDE = 64
 #: Pairs a task gathers before it hands them on.
 PAIRS = 200_000
+#: One document in SAMPLE tells which signatures may be hot: those of HOT or more documents among them, and of more than a share 1 / SHARE
+#: of their signatures, so that hot signatures are at most SHARE numbers.
+SAMPLE = 64
+HOT = 32
+SHARE = 1 << 19
 #: Words a worker remembers the hash of.
 MEMORY = 500_000
 
@@ -269,6 +274,24 @@ def _verified_edges(blocks: DataFrame, n: int, sizes: Sizes) -> DataFrame:
     return blocks.select(*names).repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
 
 
+def _meetings(sigs: DataFrame) -> DataFrame:
+    """Rows (sig, id, comp, rows) of the signatures that meet several components, of rows (id, comp, sig); rows is the signature's number of rows.
+
+    Hot signatures are aggregated before their shuffle and joined back if they are needed; all others are shuffled once, to a window. A
+    sample tells which are hot, so it decides on the way that a signature takes and not on the result.
+    """
+    counts = save(sigs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).groupBy("sig").count(), "sampled")
+    hot = counts.where((F.col("count") >= HOT) & (F.col("count") > counts.agg(F.sum("count") / SHARE).scalar())).select("sig")
+    span = [F.min("comp"), F.max("comp"), F.count("*")]
+    same = Window.partitionBy("sig")
+    cold = sigs.join(F.broadcast(hot), "sig", "left_anti").select("*", *(c.over(same).alias(n) for c, n in zip(span, ("lo", "hi", "rows"))))
+    met = sigs.join(F.broadcast(hot), "sig", "left_semi").groupBy("sig").agg(*(c.alias(n) for c, n in zip(span, ("lo", "hi", "rows"))))
+    # met has a row for each hot signature
+    warm = sigs.join(F.broadcast(met.where("lo <> hi")), "sig")
+    names = ["sig", "id", "comp", "rows"]
+    return cold.where("lo <> hi").select(*names).union(warm.select(*names))
+
+
 def _candidates(blocks: DataFrame, sizes: Sizes) -> DataFrame:
     """Pairs (a, b) of different components that the tree of each block leaves, of rows (sig, block, own, id, comp, n, counts, wide): own rows
     are in the tree, all rows search it. wide holds a document's wide signatures where sig is one, so that each pair leaves one
@@ -358,9 +381,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # what no signature may miss: those that meet several components
     lab = save(reps.join(joined, reps["id"] == joined["node"], "left").select("id", "n", F.coalesce("component", "id").alias("comp")), "labelled")
     sigs = with_set.select("id", "n", "sigs").join(lab, ["id", "n"]).select("id", "comp", F.explode("sigs").alias("sig"))
-    same_sig = Window.partitionBy("sig")
-    members = sigs.select("*", F.min("comp").over(same_sig).alias("lo"), F.max("comp").over(same_sig).alias("hi"), F.count("*").over(same_sig).alias("rows"))
-    members = save(members.where("lo <> hi").select("sig", "id", "comp", "rows"), "members")
+    members = save(_meetings(sigs), "members")
     # a document has as many signatures as its length gives
     wide = members.where(F.col("rows") > WIDE).groupBy("id").agg(F.collect_set("sig").alias("wide"))
     most = members.where(F.col("rows") > WIDE_BLOCK).groupBy("sig", "comp").count().groupBy("sig").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
