@@ -61,14 +61,14 @@ def made(rng, lang, n):
 def test_language_model(spark):
     rng = random.Random(4)
     rows = [(k, made(rng, lang := rng.choice("abc"), 60), lang) for k in range(300)]
-    rows += [(1000, None, "a"), (1001, "", "b"), (1002, "12 !?", "c"), (1003, "the", None), (1003, "the", None), (None, made(rng, "b", 30), None)]
+    rows += [(1000, None, "a"), (1001, "", "b"), (1002, "12 !?", "c"), (1004, "\u00bd \u2167 \u00b2", "c"), (1003, "the", None), (1003, "the", None), (None, made(rng, "b", 30), None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS score", "2 AS id")
     model = language.fit(docs)
     out = language.identify(docs, model).collect()
     assert len(out) == len(rows)
     truth = {k: lang for k, _, lang in rows[:300]}
     assert sum(r.lang_pred == truth[r.id] for r in out if r.id in truth) >= 297
-    assert all(r.lang_pred == "und" and r.score == 0 for r in out if r.id in (1000, 1001, 1002))
+    assert all(r.lang_pred == "und" and r.score == 0 for r in out if r.id in (1000, 1001, 1002, 1004))
     mixed = model.predict(made(rng, "a", 200) + " " + made(rng, "c", 100))
     assert mixed[0] == "a" and set(mixed[2]) == {"a", "c"} and 0.5 < mixed[1] < 0.8
     none = language.fit(docs.limit(0))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +18,6 @@ FIT_ROWS = 20_000
 PENALTY = 8.0
 ROUNDS = 30
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def histogram(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +73,7 @@ class Model:
         return w
 
     def predict(self, text: str | None) -> tuple[str, float, dict[str, float]]:
-        if not self.languages or not text or not _LETTER.search(text):
+        if not self.languages or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, {}
         shares = self.proportions(*histogram(text))
         best = max(shares, key=lambda k: (shares[k], k))
