@@ -136,3 +136,26 @@ def test_contract_columns(spark):
     sf = "/root/testdata/sf0.001"
     assert queries.op4_jaccard(spark, sf).columns == ["doc_id", "n_shingles", "component_id"]
     assert queries.op8_embeddings(spark, sf).columns == ["vec_id", "n_links", "component_id", "kept"]
+
+
+def test_groups_join_alike_hot_or_not(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_GROUPS", 8)
+    rng = random.Random(6)
+    rows = [(k, rng.choice([1, 1, 1, 2, 2, 3, 4, 5, None]), rng.choice("ab")) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, g int, h string")
+    groups = shared.save(df.where("g IS NOT NULL").groupBy("g", "h").count())
+    got = sorted((r.id, r.g, r.h, r["count"]) for r in shared.join_groups(df, groups, ["g", "h"], "count").collect())
+    n = {}
+    for _, g, h in rows:
+        n[g, h] = n.get((g, h), 0) + 1
+    assert max(n.values()) * 8 > len(rows) > min(n.values()) * 8 and got == sorted((k, g, h, n[g, h]) for k, g, h in rows if g)
+    none = df.limit(0)
+    assert shared.join_groups(none, none.groupBy("g", "h").count(), ["g", "h"], "count").count() == 0
+
+
+def test_samples_of_any_share(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(200_000)
+    count = lambda share: ids.where(shared.sampled(share, "x", F.col("id"))).count()
+    assert count(1.0) == count(7.0) == 200_000 and count(0.0) == 0 and 300 < count(1 / 400) < 700

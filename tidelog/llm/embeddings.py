@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, save, ship
+from .shared import connected_components, join_groups, save, ship
 
 MIN_COSINE = 0.93
 #: Low-dimensional blocks that the rotated vectors are split into.
@@ -109,10 +109,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     found = save(found, "vector_links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
-    per_class = classes.select(F.col("label").alias("l"), F.col("dim").alias("d"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), "node", "copies")
-    per_class = per_class.join(links, "node", "left").join(components, "node", "left")
-    on = (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2"))
-    out = v.drop("vec").join(per_class, on, "left")
+    per_class = classes.drop("vec").join(links, "node", "left").join(components, "node", "left")
+    per_class = save(per_class.select("label", "dim", "h1", "h2", "node", "copies", "links", "component"), "vector_classes")
+    able = F.col("vec").isNotNull()
+    out = join_groups(v.where(able).drop("vec"), per_class, ["label", "dim", "h1", "h2"], "copies")
+    out = out.unionByName(v.where(~able).drop("vec"), allowMissingColumns=True)
     out = out.select("id", (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"),
                      F.coalesce("component", "node", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import texts
-from .shared import connected_components, save, ship
+from .shared import connected_components, join_groups, save, ship
 
 N = 5
 PERCENT = 80
@@ -51,6 +51,8 @@ HOT = 32
 SHARE = 1 << 19
 #: Words a worker remembers the hash of.
 MEMORY = 500_000
+#: Bytes of the longest of these words.
+MEMORY_LENGTH = 64
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
@@ -65,9 +67,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _Hashes(dict):
     def __missing__(self, word):
-        if len(self) >= MEMORY:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= MEMORY_LENGTH:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -363,16 +367,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sketch = save(_sketch(docs, n, sizes), "sketch")
     with_set = sketch.where("n > 0 AND id IS NOT NULL")
     # equal sets are one class, its smallest id stands for it
-    classes = with_set.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
-    named = save(with_set.select("id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).select("id", "n", "rep"), "classes")
+    classes = save(with_set.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
+    named = save(join_groups(with_set.select("id", "n", "f1", "f2"), classes, ["n", "f1", "f2"], "copies").select("id", "n", "rep"), "named")
     reps = named.where("id = rep").select("id", "n").distinct()
     same = named.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
     # rounds of min-hash: blocks of a key
     keys = with_set.select("id", "n", "keys").join(reps, ["id", "n"], "left_semi")
     keys = save(keys.select("id", F.posexplode("keys").alias("round", "key")), "keys")
-    shared = keys.groupBy("round", "key").agg(F.count("*").alias("rows")).where("rows > 1")
-    members = keys.join(shared, ["round", "key"])
+    shared = save(keys.groupBy("round", "key").agg(F.count("*").alias("rows")).where("rows > 1"), "shared")
+    members = join_groups(keys, shared, ["round", "key"], "rows")
     members = members.withColumn("block", F.pmod(F.xxhash64("id", "round"), F.ceil(F.col("rows") / BLOCK)).cast("int"))
     blocks = members.select("round", "key", "block", "id").join(docs, "id")
     edges = save(_verified_edges(blocks, n, sizes), "edges")

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import release, save, shared_dir
 
-__all__ = ["connected_components", "held_out", "lower_ascii", "release", "save", "shared_dir", "ship"]
+__all__ = ["connected_components", "held_out", "join_groups", "lower_ascii", "release", "sampled", "save", "shared_dir", "ship"]
 
 _SHIPPED: set[str] = set()
 
+#: Bound of the groups that a join treats as hot.
+HOT_GROUPS = 1024
+
 #: ASCII white space of the word contracts, [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -43,6 +46,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def sampled(share: float, name: str, key: Column) -> Column:
+    """True for about this share of all keys, by a hash of name and key; in steps fine enough for a bounded sample of any table."""
+    steps = 1 << 48
+    return F.pmod(F.xxhash64(F.lit(name), key), F.lit(steps)) < F.lit(int(min(1.0, share) * steps)).cast("long")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:
+    """rows joined with their groups: groups has one row for each value of the columns `on`, and `size` counts the rows that have it.
+
+    Groups with more than a share 1 / HOT_GROUPS of all rows are fewer than HOT_GROUPS, whatever the input, so they are broadcast
+    and their rows stay where they are. The rows of all others are shuffled. Rows with a null in `on` meet no group and go. groups
+    is read several times: save it.
+    """
+    is_hot = F.col(size) * HOT_GROUPS > groups.agg(F.sum(size)).scalar()
+    hot, cold = groups.where(is_hot), groups.where(~is_hot)
+    near = rows.join(F.broadcast(hot), on)
+    far = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on)
+    return near.unionByName(far)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id of every node of edges (a, b): rows (node, component). Nulls and loops are ignored;
     an empty input gives an empty result.
