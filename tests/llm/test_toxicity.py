@@ -65,3 +65,11 @@ def test_quotation_counts():
     plain = model.features("ta ko you scoundrel mi")
     assert quoted[names.index("quoted")] > 0 and quoted[names.index("reported")] > 0 and not quoted[names.index("spoken")]
     assert plain[names.index("spoken")] > 0 and not plain[names.index("quoted")]
+
+
+def test_very_long_words_are_judged_like_short_ones():
+    trie = toxicity.Trie(["grumpox"], ["vexil"])
+    assert trie.near("grumpax") == "near" and trie.near("grumpox" + "z" * 200_000) is None and trie.near("grump" + "o" * 200_000) is None
+    assert trie.near("vexal" + "z" * 200_000) == trie.near("vexalz") == "near_stem"
+    model = toxicity.Model(["grumpox"], ["vexil"])
+    assert model.kind("vexil" + "z" * 200_000) == "stem" and not any(len(w) > toxicity.MEMORY_LENGTH for w in model.known)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import map_texts, texts
-from .shared import held_out, ship
+from .shared import held_out, sampled, ship
 
 #: Hash bins of byte trigrams.
 BINS = 1 << 13
@@ -90,7 +90,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     total = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).count()
     share = min(1.0, fit_rows / max(1, total))
-    usable = usable.where(F.pmod(F.xxhash64(F.lit("language"), id_col), F.lit(1 << 20)) < int(share * (1 << 20)))
+    usable = usable.where(sampled(share, "language", F.col(id_col)))
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import map_texts, texts
-from .shared import held_out, save, ship
+from .shared import held_out, sampled, save, ship
 
 #: Bounds: labelled rows that are fitted on, terms of the lexicon, words a worker remembers.
 FIT_ROWS = 30_000
 MAX_TERMS = 2_000
 MEMORY = 500_000
+#: Longest word that is remembered.
+MEMORY_LENGTH = 64
 #: Limits for a term: toxic texts that have it, and their share (smoothed) among all texts that have it.
 MIN_TEXTS = 5
 MIN_SHARE = 0.7
@@ -63,6 +65,7 @@ class Trie:
         self.root: dict = {}
         self.words, self.stems = set(words), set(stems)
         self.stem_lengths = sorted({len(s) for s in stems})
+        self.longest = max(map(len, [*words, *stems]), default=0)
         # one edit leaves the first or the last half of a term as it was
         self.fronts, self.backs, self.stem_backs = {}, {}, {}
         for term in [*words, *stems]:
@@ -93,7 +96,8 @@ class Trie:
         if not (any(word[:h] in s for h, s in self.fronts.items()) or any(word[-h:] in s for h, s in self.backs.items())
                 or any(word[at : at + h] in s for (at, h), s in self.stem_backs.items())):
             return None
-        automaton, found = Levenshtein(word), None
+        # what lies beyond every term and its edits can only say that no whole word is near
+        automaton, found = Levenshtein(word[: self.longest + EDITS + 1]), None
         todo = [(self.root, automaton.start, 0)]
         while todo:
             node, state, depth = todo.pop()
@@ -121,6 +125,8 @@ class Model:
     def kind(self, word: str) -> str | None:
         if word in self.known:
             return self.known[word]
+        if len(word) > MEMORY_LENGTH:
+            return self.trie.exact(word) or self.trie.near(word)
         if len(self.known) >= MEMORY:
             self.known.clear()
         found = self.known[word] = self.trie.exact(word) or self.trie.near(word)
@@ -131,11 +137,8 @@ class Model:
         if not text:
             return None
         low = text.lower()
-        words, known = _WORD.findall(low), self.known
+        words = _WORD.findall(low)
         distinct = set(words)
-        for w in distinct:
-            if w not in known:
-                self.kind(w)
         hits = {w: k for w in distinct if (k := self.kind(w))}
         if not hits:
             return None
@@ -197,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ship(docs.sparkSession)
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     share = min(1.0, fit_rows / max(1, y.count()))
-    y = y.where(F.pmod(F.xxhash64(F.lit("toxicity"), id_col), F.lit(1 << 20)) < int(share * (1 << 20)))
+    y = y.where(sampled(share, "toxicity", F.col(id_col)))
     y = y.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("toxic"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     rows = save(rows.join(y, F.col("id") == F.col("label_id")).select("text", "toxic"), "toxic_fit")
