@@ -114,3 +114,9 @@ def test_pack_tokens(spark):
     rows = [(1, array("I", range(10)).tobytes(), None), (None, array("I", range(5)).tobytes(), 2), (3, b"", 0), (4, None, None)]
     out = packing.pack_tokens(spark.createDataFrame(rows, "id long, ids binary, loss_stop int").coalesce(1), max_tokens=8).collect()
     assert sum(r.length for r in out) == 15 and {r.id for r in out} == {1, None}
+
+
+def test_long_chunks_are_not_remembered(encoder, library):
+    text = "ab" * 3000 + " " + "cd" * 3000 + "\n" + "e" * 5000
+    assert list(array("I", encoder[0].encode(text))) == library.encode(text, add_special_tokens=False).ids
+    assert all(len(c) <= tokens.MEMORY_LENGTH for m in (encoder[0].head, encoder[0].tail) for c in m)
