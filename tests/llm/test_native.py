@@ -36,6 +36,19 @@ def test_bad_host_goes_whole(spark):
     assert not out[300] and out[400] and not out[900] and out[901]
 
 
+def test_document_rules_decide_and_count_for_hosts(spark):
+    good = " ".join(f"word{k}" for k in range(40))
+    junk = " ".join(f"thon{k}$$$ to%%%" for k in range(20))
+    lines = "\n".join(["same line", *(f"line number {k}" for k in range(3)), *["same line"] * 5])
+    rows = [(1, junk, "fine"), (2, lines, "fine"), (3, " ".join("abcdefghijklmnop"), "fine"), (4, " ".join(f"{k}" * 30 for k in range(10, 30)), "fine"), (5, good, "fine")]
+    rows += [(100 + k, junk, "bad") for k in range(300)] + [(400, good, "bad")] + [(500 + k, good, "fine") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.id: r for r in quality.judge(docs).collect()}
+    assert not any(out[k].base_failed for k in (1, 3, 4, 5, 400)) and not any(out[k].kept for k in (1, 2, 3, 4, 400)) and out[5].kept
+    assert out[2].failed and out[2].n_lines == 9 and out[2].n_dup_lines == 5
+    assert all(r.kept != r.base_failed for r in quality.judge(docs, by="base_failed").collect())
+
+
 def test_chats_come_back(spark):
     rng = random.Random(2)
     parts = [*chat.CONTROL, "\\", "\\\\", "<", "[", "|", ">", "]", "a", "é", "\n", " ", "<|", "s>", "$1", ""]

@@ -14,6 +14,11 @@ WINDOW = 5
 REPEAT_PERCENT = 20
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
+#: Symbols to a hundred words, repeated lines to a hundred lines, and characters to a word beyond which a document's own rules fail.
+#: No document of sf0.1 with quality 1 that passes the base rules has a symbol, over 33 repeated lines or words of under 3.0 or over 9.2 characters.
+SYMBOL_PERCENT = 10
+DUP_LINE_PERCENT = 50
+WORD_CHARS = (2, 12)
 
 
 def words_of(text: Column) -> Column:
@@ -35,9 +40,9 @@ def _windows(words: Column, hashed: bool) -> Column:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Rows (id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed).
+    """Rows (id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, failed).
 
-    A null text counts as a text without words (all counts 0, base_failed true). Repeated rows stay separate
+    base_failed are the contract's two rules (words, repeats); failed adds those on symbols, repeated lines and word length. A null text counts as a text without words (all counts 0, base_failed true). Repeated rows stay separate
     rows. Other columns of docs are not read.
 
     Repeats: the windows' hashes are compared first, and only a text in which two are equal has its windows
@@ -49,7 +54,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     d = d.select("id", "host", words_of(F.col("text")).alias("w"), _lines_with_words(F.col("text")).alias("lines"),
                  (F.length("text") - F.length(F.regexp_replace("text", f"[{SYMBOLS}]+", ""))).cast("long").alias("n_symbols"))
     d = d.select("id", "host", "w", "n_symbols",
-                 F.size("w").cast("long").alias("n_words"),
+                 F.size("w").cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"),
                  F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
                  (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
                  _windows(F.col("w"), hashed=True).alias("h"))
@@ -60,23 +65,25 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     # element i of the 0-based s is element i+1 for element_at; 0 is no index, so the first one asks for itself alone
     repeated = F.transform(F.filter("s", lambda x, i: F.when(i > 0, near(x, F.greatest(i, F.lit(1)), 0)).otherwise(False) | near(x, i + 1, 1)),
                            lambda x: x.getField("i"))
-    d = d.select("id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.array_sort(repeated).alias("p"))
+    d = d.select("id", "host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.array_sort(repeated).alias("p"))
     gaps = F.zip_with("p", F.slice("p", 2, F.greatest(F.size("p"), F.lit(1))),
                       lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
     n_repeat = F.when(F.size("p") > 0, F.aggregate(gaps, F.lit(0), lambda acc, x: acc + x)).otherwise(0)
-    d = d.select("id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+    d = d.select("id", "host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
                  F.coalesce(n_repeat, F.lit(0)).cast("long").alias("n_repeat_words"))
-    return d.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words"))
+    d = d.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words"))
+    return d.withColumn("failed", F.expr(f"""base_failed OR 100 * n_symbols > {SYMBOL_PERCENT} * n_words OR 100 * n_dup_lines > {DUP_LINE_PERCENT} * n_lines
+        OR word_chars < {WORD_CHARS[0]} * n_words OR word_chars > {WORD_CHARS[1]} * n_words"""))
 
 
-def host_rates(measured: DataFrame) -> DataFrame:
-    """Rows (host, n, failed, rate, shrunk): each host's failure rate drawn towards the corpus by a beta prior.
+def host_rates(measured: DataFrame, by: str = "failed") -> DataFrame:
+    """Rows (host, n, failed, rate, shrunk): each host's rate of failures (the column `by`) drawn towards the corpus by a beta prior.
 
     The prior is fitted by moments to the hosts' own rates, each weighted by its documents: mean m and variance v give a
     strength m(1-m)/v - 1, held between 1 and 1e6; without variance hosts count as alike (1e6). Documents without a host share
     one group with a null host. An empty table gives no rows.
     """
-    hosts = measured.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+    hosts = measured.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col(by).cast("long")).alias("failed"))
     hosts = hosts.withColumn("rate", F.col("failed") / F.col("n"))
     prior = hosts.agg((F.sum("failed") / F.sum("n")).alias("m"),
                       (F.sum(F.col("n") * F.col("rate") * F.col("rate")) / F.sum("n")).alias("q"))
@@ -87,14 +94,15 @@ def host_rates(measured: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-          host_limit: float = HOST_LIMIT) -> DataFrame:
+          host_limit: float = HOST_LIMIT, by: str = "failed") -> DataFrame:
     """measure() plus host_shrunk (double) and kept (boolean): a document goes if its own rules fail or its host's
-    shrunk failure rate is above host_limit. Null hosts are one host.
+    shrunk failure rate is above host_limit. Null hosts are one host. The column `by` says which rules count, for the document
+    and for its host: all of them (failed), or the contract's alone (base_failed).
 
     The measures are saved once and read twice. Rates are aggregated before the shuffle, and the join back is
     on the host: a host with a third of all rows is a skewed join side that the adaptive planner splits.
     """
     m = save(measure(docs, id_col, text_col, host_col), "quality")
-    rates = host_rates(m).select(F.col("host").alias("rate_host"), F.col("shrunk").alias("host_shrunk"))
+    rates = host_rates(m, by).select(F.col("host").alias("rate_host"), F.col("shrunk").alias("host_shrunk"))
     out = m.join(rates, F.col("host").eqNullSafe(F.col("rate_host")), "left").drop("rate_host")
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("host_shrunk", F.lit(0.0)) <= host_limit))
+    return out.withColumn("kept", ~F.col(by) & (F.coalesce("host_shrunk", F.lit(0.0)) <= host_limit))
