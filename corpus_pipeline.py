@@ -14,6 +14,8 @@ from tidelog.llm.shared import save
 
 #: Share of a text's most likely language below which the text is no document of any language.
 MIN_LANGUAGE_SHARE = 0.3
+#: Gain over equal trigram probabilities that a text in learned languages exceeds.
+MIN_LANGUAGE_GAIN = 0.0
 
 
 def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -29,7 +31,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows."""
-    found = language.identify(docs, language.fit(docs)).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SHARE))
+    found = language.identify(docs, language.fit(docs))
+    found = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SHARE) & (F.col("gain") > MIN_LANGUAGE_GAIN))
     return _keep(docs, found.select(F.col("id").alias("doc_id")).distinct())
 
 

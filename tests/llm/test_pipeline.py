@@ -36,3 +36,18 @@ def test_odd_documents(spark):
     for table in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, table, SF).collect()
+
+
+UNLEARNED = {
+    "ru": "\u0421\u044a\u0435\u0448\u044c \u0435\u0449\u0451 \u044d\u0442\u0438\u0445 \u043c\u044f\u0433\u043a\u0438\u0445 \u0431\u0443\u043b\u043e\u043a \u0434\u0430 \u0432\u044b\u043f\u0435\u0439 \u0447\u0430\u044e. " * 5,
+    "pl": "Wszyscy ludzie rodz\u0105 si\u0119 wolni i r\u00f3wni pod wzgl\u0119dem swej godno\u015bci i swych praw. S\u0105 oni obdarzeni rozumem i sumieniem.",
+    "consonants": "qxzvk wrtpl bdfgk xxqzt mnbvc lkjhg zxcvb trwqp " * 6,
+    "hex": " ".join(f"{0x9E3779B97F4A7C15 * k % (1 << 32):08x}" for k in range(1, 50)),
+}
+
+
+def test_unlearned_languages_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    more = spark.createDataFrame([(-1 - k, t, None, "s", len(t)) for k, t in enumerate(UNLEARNED.values())], docs.schema)
+    left = ids(corpus_pipeline.language_stage(spark, docs.unionByName(more), SF))
+    assert left == ids(docs)

@@ -72,12 +72,22 @@ class Model:
             w = new
         return w
 
-    def predict(self, text: str | None) -> tuple[str, float, dict[str, float]]:
+    def gain(self, bins: np.ndarray, counts: np.ndarray, shares: dict[str, float]) -> float:
+        """Mean log-likelihood of a text's trigrams under the mixture less that under equal bins."""
+        mix = sum(w * self.p[self.languages.index(k), bins] for k, w in shares.items())
+        return float(counts @ np.log(mix * BINS) / counts.sum())
+
+    def explain(self, text: str | None) -> tuple[str, float, dict[str, float], float | None]:
+        """Language, share, shares and gain; und, 0, none and null for a text without a letter."""
         if not self.languages or not text or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0, {}
-        shares = self.proportions(*histogram(text))
+            return UNKNOWN, 0.0, {}, None
+        found = histogram(text)
+        shares = self.proportions(*found)
         best = max(shares, key=lambda k: (shares[k], k))
-        return best, min(1.0, shares[best]), shares
+        return best, min(1.0, shares[best]), shares, self.gain(*found, shares)
+
+    def predict(self, text: str | None) -> tuple[str, float, dict[str, float]]:
+        return self.explain(text)[:3]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Model:
@@ -112,8 +122,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, lang_pred, score, languages): the language with the largest share, that share, and all languages of the text with
-    their shares. und and 0 for a null text or one without a letter. Repeated rows stay; other columns are not read.
+    """Rows (id, lang_pred, score, languages, gain): the language with the largest share, that share, all languages of the text with
+    their shares, and how well they explain it: above 0 if better than equal probabilities of all trigrams would, which text in
+    an unlearned language does not reach. und, 0 and a null gain for a null text or one without a letter. Repeated rows stay; other columns are not read.
     The model is broadcast: languages times BINS numbers. Rows are judged one by one; nothing is shuffled.
     """
     from pyspark.sql.pandas.types import to_arrow_type
@@ -121,14 +132,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     data = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        predict = data.value.predict
+        explain = data.value.explain
 
         def work(ids, part):
-            found = [predict(t) for t in part]
-            return {"id": ids, "lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "languages": [list(f[2].items()) for f in found]}
+            found = [explain(t) for t in part]
+            return {"id": ids, "lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "languages": [list(f[2].items()) for f in found],
+                    "gain": [f[3] for f in found]}
 
         return work
 
     kind = docs.schema[id_col].dataType
-    fields = pa.schema([("id", to_arrow_type(kind)), ("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.map_(pa.string(), pa.float64()))])
-    return map_texts(docs, id_col, text_col, f"id {kind.simpleString()}, lang_pred string, score double, languages map<string,double>", fields, make)
+    fields = pa.schema([("id", to_arrow_type(kind)), ("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.map_(pa.string(), pa.float64())), ("gain", pa.float64())])
+    return map_texts(docs, id_col, text_col, f"id {kind.simpleString()}, lang_pred string, score double, languages map<string,double>, gain double", fields, make)
