@@ -16,30 +16,49 @@ from tidelog.llm.shared import save
 MIN_LANGUAGE_SHARE = 0.3
 #: Gain over equal trigram probabilities that a text in learned languages exceeds.
 MIN_LANGUAGE_GAIN = 0.0
+#: Column of a stage's row keys.
+KEY = "_row_key"
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids (a column doc_id without repeats); ids that are null stay with a null in ids."""
-    chosen = ids.select(F.col("doc_id").alias("kept_id"))
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["kept_id"]), "left_semi")
+def _with_keys(docs: DataFrame) -> DataFrame:
+    """docs with a key for each row: its doc_id, if no other row has that; else a 64-bit hash of all its columns, so that only equal
+    rows share a key (collisions are not checked). The doc_ids that several rows have are saved once."""
+    repeated = save(docs.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").select(F.col("doc_id").alias("_repeated")), "repeated")
+    whole = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+    key = F.when(F.col("doc_id").isNull() | F.col("_repeated").isNotNull(), whole).otherwise(F.col("doc_id"))
+    return docs.join(repeated, docs["doc_id"] == repeated["_repeated"], "left").select(*docs.columns, key.alias(KEY))
+
+
+def _keep(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of keyed whose key is in keys (a column id)."""
+    return keyed.join(keys.select(F.col("id").alias(KEY)).distinct(), KEY, "left_semi")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, their own and their host's."""
-    return _keep(docs, quality.judge(docs).where("kept").select(F.col("id").alias("doc_id")).distinct())
+    keyed = _with_keys(docs)
+    return _keep(keyed, quality.judge(keyed, id_col=KEY).where("kept")).select(docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows."""
-    found = language.identify(docs, language.fit(docs))
+    keyed = _with_keys(docs)
+    found = language.identify(keyed, language.fit(docs), id_col=KEY)
     found = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SHARE) & (F.col("gain") > MIN_LANGUAGE_GAIN))
-    return _keep(docs, found.select(F.col("id").alias("doc_id")).distinct())
+    return _keep(keyed, found).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8), that with the smallest id; rows without an id stay."""
-    found = jaccard.jaccard_components(docs)
-    return _keep(docs, found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("doc_id")).distinct())
+    """One row of each group of near copies (five words, similarity 0.8), that with the smallest id, those without an id last;
+    rows without words are no copies unless all their columns are equal."""
+    keyed = _with_keys(docs)
+    own = F.col(KEY).eqNullSafe(F.col("doc_id"))
+    found = jaccard.jaccard_components(keyed, id_col=KEY)
+    named = found.join(keyed.select(F.col(KEY).alias("id"), "doc_id").distinct(), "id")
+    best = named.groupBy("component_id").agg(F.min_by("id", F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("id"))
+    kept = _keep(keyed, best)
+    # equal rows share a key
+    return kept.where(own).unionByName(kept.where(~own).dropDuplicates([KEY])).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,3 +51,22 @@ def test_unlearned_languages_go(spark):
     more = spark.createDataFrame([(-1 - k, t, None, "s", len(t)) for k, t in enumerate(UNLEARNED.values())], docs.schema)
     left = ids(corpus_pipeline.language_stage(spark, docs.unionByName(more), SF))
     assert left == ids(docs)
+
+
+def test_verdicts_hold_for_rows_and_not_for_ids(spark):
+    def prose(k):
+        return " ".join(f"{w}{k}" for w in "some prose of a kind that no other document has in its words at all here".split())
+
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    rows = [(k, prose(k), "en", "s", 1) for k in range(40)]
+    rows += [(7, "short", "en", "s", 1), (None, "short", "en", "s", 1), (None, prose(50), "en", "s", 1)]  # rejected beside kept ones
+    rows += [rows[3], rows[3], (3, prose(3), "en", "t", 1), (None, prose(3), "en", "s", 1), (60, prose(3) + " ", "en", "s", 1)]  # copies of 3
+    rows += [(None, prose(70), "en", "s", 1)] * 3 + [(None, prose(70), "en", "t", 1), (None, prose(71), "en", "s", 1)]  # copies without an id
+    docs = spark.createDataFrame(rows, schema)
+    good = corpus_pipeline.quality_stage(spark, docs, SF)
+    assert sorted(map(repr, map(tuple, good.collect()))) == sorted(repr(r) for r in rows if r[1] != "short")
+    found = [(r.doc_id, r.text.strip()) for r in corpus_pipeline.near_duplicate_stage(spark, good, SF).collect()]
+    assert sorted(map(repr, found)) == sorted([repr((k, prose(k))) for k in range(40)] + [repr((None, prose(k))) for k in (50, 70, 71)])
+    cyrillic = [(5, UNLEARNED["ru"], None, "s", 1), (None, UNLEARNED["ru"], None, "s", 1)]
+    known = corpus_pipeline.language_stage(spark, good.unionByName(spark.createDataFrame(cyrillic, schema)), SF)
+    assert sorted(map(repr, map(tuple, known.collect()))) == sorted(map(repr, map(tuple, good.collect())))
