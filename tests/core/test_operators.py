@@ -68,6 +68,13 @@ def test_cycles_have_no_level(spark):
     assert {r.name: r.level for r in objects.dependency_levels(spark, nodes, edges).collect()}["e"] is None
 
 
+def test_deep_dependency_chains(spark):
+    nodes = spark.createDataFrame([(f"n{k}",) for k in range(67)] + [("c",), (None,)], "name string")
+    edges = spark.createDataFrame([(f"n{k}", f"n{k - 1}") for k in range(1, 67)] + [("c", "c")], "name string, needs string")
+    got = {r.name: r.level for r in objects.dependency_levels(spark, nodes, edges).collect()}
+    assert got == {f"n{k}": k for k in range(67)} | {"c": None, None: None}
+
+
 def test_checks_with_nulls(spark):
     df = spark.createDataFrame([(1, 1), (1, 1), (None, 2), (None, 2)], "a int, b int")
     assert validate.key_violations(df, ["a"]).count() == 1 and validate.key_violations(df, ["a"], primary=True).count() == 2

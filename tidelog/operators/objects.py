@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,14 +87,16 @@ def object_status(last: DataFrame, now: DataFrame) -> DataFrame:
     return both.select("kind", "name", status.alias("status"))
 
 
-def dependency_levels(spark: SparkSession, nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+def dependency_levels(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows (name, level): 0 without dependencies, else one above the highest; nodes in or behind a cycle, or that need a missing one, have a null
-    level. edges: (name, needs). Each round settles what needs only settled nodes, so a diamond is walked once."""
+    level. edges: (name, needs). Each round settles what needs only settled nodes, so a diamond is walked once; rounds
+    end when one settles nothing. Nodes without a name have a null level."""
     nodes, edges = nodes.select("name").distinct(), edges.select("name", "needs").distinct()
-    settled = nodes.join(edges, "name", "left_anti").withColumn("level", F.lit(0))
+    named = nodes.where("name IS NOT NULL")
+    settled = named.join(edges, "name", "left_anti").withColumn("level", F.lit(0))
     n = settled.count()
-    for level in range(1, most + 1):
-        waiting = nodes.join(settled, "name", "left_anti")
+    for level in count(1):
+        waiting = named.join(settled, "name", "left_anti")
         blocked = edges.join(settled.select(F.col("name").alias("needs")), "needs", "left_anti").select("name").distinct()
         more = waiting.join(blocked, "name", "left_anti").withColumn("level", F.lit(level))
         settled = settled.union(more)
