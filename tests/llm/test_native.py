@@ -125,3 +125,15 @@ def test_queries_cover_their_tables(spark):
     sf = "/root/testdata/sf0.001"
     assert queries.op1_chat(spark, sf).count() == spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().count() + 1
     assert queries.op10_urls(spark, sf).count() == spark.read.parquet(f"{sf}/pages.parquet").count()
+
+
+def test_deep_paths_and_middle_labels_make_rules(spark):
+    made = [(f"http://a{k}.com/a/b/c/{kind}/x", kind) for k in range(60) for kind in ("bad", "good")]
+    made += [(f"http://b{k}.net/a/b/c/{kind}/x", kind) for k in range(10) for kind in ("bad", "good")]
+    made += [(f"http://c{k}.q.m.org.xx/z", "q") for k in range(30)] + [(f"http://d{k}.q.m.org.xx/k", "q") for k in range(10)]
+    made += [(f"http://e{k}.r.m.org.xx/k", "r") for k in range(60)]
+    pages = spark.createDataFrame([(k, url) for k, (url, _) in enumerate(made)], "page_id long, url string")
+    rules = [("block", "com", "/a/b/c/bad"), ("allow", "com", "/a/b/c/good"), ("block", "q.m.org.xx", "/z")]
+    out = {r.id: r for r in urls.judge_urls(pages, rules=rules).collect()}
+    assert len(out) == len(made) and sum(r.rule is None for r in out.values()) == 90
+    assert all(out[k].verdict == ("block" if kind in ("bad", "q") else "allow") for k, (_, kind) in enumerate(made))
