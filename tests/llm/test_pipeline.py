@@ -1,3 +1,7 @@
+import random
+import re
+from array import array
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -70,3 +74,70 @@ def test_verdicts_hold_for_rows_and_not_for_ids(spark):
     cyrillic = [(5, UNLEARNED["ru"], None, "s", 1), (None, UNLEARNED["ru"], None, "s", 1)]
     known = corpus_pipeline.language_stage(spark, good.unionByName(spark.createDataFrame(cyrillic, schema)), SF)
     assert sorted(map(repr, map(tuple, known.collect()))) == sorted(map(repr, map(tuple, good.collect())))
+
+
+def words(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+
+
+def fails(text):
+    w = words(text)
+    seen = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    covered = {k + j for k, x in enumerate(seen) if seen.count(x) > 1 for j in range(5)}
+    lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    letters = sum(map(len, w))
+    return (len(w) < 10 or len(covered) > 0.2 * len(w) or sum((text or "").count(c) for c in "#*$%&|<>") > 0.1 * len(w)
+            or len(lines) - len(set(lines)) > 0.5 * len(lines) or not 2 * len(w) <= letters <= 12 * len(w))
+
+
+def passes_quality(docs):
+    hosts = {}
+    for d in docs:
+        hosts.setdefault(d[3], []).append(fails(d[1]))
+    n = len(docs)
+    m = sum(map(sum, hosts.values())) / n
+    v = sum(len(x) * (sum(x) / len(x)) ** 2 for x in hosts.values()) / n - m * m
+    k = max(1, min(1e6, m * (1 - m) / v - 1)) if v > 1e-12 else 1e6
+    return [d for d in docs if not fails(d[1]) and (sum(hosts[d[3]]) + m * k) / (len(hosts[d[3]]) + k) <= 0.9]
+
+
+def one_of_each(docs):
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for d in docs for w in [words(d[1].lower())]]
+    group = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    best = {}
+    for g, d in sorted(zip(group, docs), key=lambda x: (x[1][0] is None, x[1][0] or 0)):
+        best.setdefault(g, d)
+    return list(best.values())
+
+
+def test_run_equals_independent_stages(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(7)
+    syllables = {"en": ["the", "ing", "ton", "re", "wh"], "de": ["ung", "sch", "eit", "ver", "ich"]}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+
+    docs = [(k, text(lang, rng.choice([30, 60, 900])), lang, f"s{k % 3}", 1) for k in range(60) for lang in [rng.choice(["en", "de"])]]
+    docs += [(100 + k, docs[k][1] + " more", docs[k][2], "s0", 1) for k in range(8)] + [(200 + k, f"{text('en', 30)} {'$$$ %%% ' * 10}", "en", "s1", 1) for k in range(5)]
+    docs += [(300, "short text", "en", "s2", 1), (301, "same words come again " * 20, "en", "s2", 1), (302, "\n".join(["one line here"] * 2 + [text("en", 20)]), "en", "s2", 1)]
+    docs += [(5, "no", "en", "s2", 1), (None, docs[9][1], "en", "s2", 1), (None, text("de", 40), "de", "s1", 1), docs[12], docs[12], (303, None, None, None, None)]
+    docs += [(400 + k, text("en", 40), "en", "bad", 1) for k in range(2)] + [(410 + k, "bad", "en", "bad", 1) for k in range(120)]
+    strange = [(500 + k, t, None, "s0", 1) for k, t in enumerate(UNLEARNED.values())]
+    spark.createDataFrame(docs + strange, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+
+    want = one_of_each([d for d in passes_quality(docs + strange) if d[0] not in range(500, 510)])
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokens = sorted((-1 if d[0] is None else d[0], [*library.encode(d[1], add_special_tokens=False).ids, 0]) for d in want)
+    pieces, lengths = {}, {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        pieces.setdefault(-1 if r.doc_id is None else r.doc_id, []).append((r.start, list(array("I", r.ids))))
+        lengths[r.sequence_id] = lengths.get(r.sequence_id, 0) + r.length
+    assert sorted((k, [i for _, x in sorted(p) for i in x]) for k, p in pieces.items()) == tokens and max(lengths.values()) <= 1024
+    assert 40 < len(want) < len(docs)
