@@ -51,7 +51,7 @@ def copies(rng, n, words, changes, extra=()):
 @pytest.mark.parametrize("n, percent, seed", [(4, 85, 1), (5, 80, 2), (1, 80, 3)])
 def test_components_equal_brute_force(spark, monkeypatch, n, percent, seed):
     rng = random.Random(seed)
-    for name, value in {"BLOCK": 5, "WIDE_BLOCK": 8, "WIDE": 3, "LEAF": 4, "QUERIES": 3, "PAIRS": 10, "SAMPLE": 2, "HOT": 4}.items():
+    for name, value in {"BLOCK": 5, "TILE": 8, "WIDE": 3, "LEAF": 4, "QUERIES": 3, "PAIRS": 10, "SAMPLE": 2, "HOT": 4}.items():
         monkeypatch.setattr(jaccard, name, value)
     words = [f"w{k}" for k in range(60)]
     passage = tuple(f"p{k}" for k in range(20))

@@ -1,15 +1,16 @@
 """Jaccard join of documents by word n-grams: a count-vector R-tree finds pairs, and sets verify them.
 
 The elements of a set are dealt by hash into groups, and the groups' counts are a point. The overlap of two sets is at most the sum of
-the coordinate minima of their points, and for a node of the tree at most that with its upper corner, which prunes. Sets are
-brought together for the tree by signatures that no pair can miss:
+the coordinate minima of their points, and for a node of the tree at most that with its upper corner, which prunes. Every link between
+different sets is found by the search of such a tree. Equal sets are one point. What is in a tree together:
 
-    A pair at the threshold differs in at most t elements, and t follows from its sizes. Dealt into more than t groups, one group
-    at least is the same in both, so the pair shares a signature (size class, group, hash of the group's elements).
+    First, documents with a min-hash in common, which are few. This settles most near copies at little cost, but may miss some.
+    Then, documents of different components with a signature in common, which no pair can miss: a pair at the threshold differs in at
+    most t elements, and t follows from its sizes. Dealt into more than t groups, one group at least is the same in both, so the
+    pair shares a signature (size class, group, hash of the group's elements).
 
-Before that, a few min-hash rounds join most near copies, verified as well. Then only signatures that still meet different components matter,
-and they are found by a minimum and a maximum for each signature. A document has a signature for each few of its elements, so even a
-group with a third of all documents gives one signature but a small share of all rows.
+The signatures that meet different components are found by a minimum and a maximum for each. A document has a signature for each few
+of its elements, so even a group with a third of all documents gives one signature but a small share of all rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import texts
-from .shared import connected_components, join_groups, save, ship
+from .shared import connected_components, join_groups, meetings_of_tiles, save, ship
 
 N = 5
 PERCENT = 80
@@ -33,9 +34,9 @@ PERCENT = 80
 GROUPS = 128
 #: Rounds of min-hash.
 ROUNDS = 3
-#: Rows of a block in these rounds, and rows of a block of a signature.
+#: Rows of a tree in these rounds, and rows of a tile of a signature, of which a task holds two.
 BLOCK = 128
-WIDE_BLOCK = 1024
+TILE = 1024
 LEAF = 32
 QUERIES = 128
 #: Ratio of the limits of a size class.
@@ -257,20 +258,21 @@ def _sketch(docs: DataFrame, n: int, sizes: Sizes) -> DataFrame:
 
 
 def _verified_edges(blocks: DataFrame, n: int, sizes: Sizes) -> DataFrame:
-    """Edges (a, b) of a spanning forest of the links within each block of rows (round, key, block, id, text)."""
+    """Edges (a, b) of a spanning forest of the links within each block of rows (round, key, block, id, text), which the block's tree finds."""
     names = ["round", "key", "block", "id", "text"]
 
     def run(batches):
         for _, group in _runs(batches, names, 3):
+            if len(group) < 2:
+                continue
             ids, sets = [r[3] for r in group], [shingles(r[4], n) for r in group]
-            length, pts = np.array([len(s) for s in sets]), np.array([points(s) for s in sets])
+            length, pts, every = np.array([len(s) for s in sets]), np.array([points(s) for s in sets]), np.arange(len(sets))
+            left, right = RTree(pts, length, every, sizes).search(pts, length, every)
             forest, out = Forest(), []
-            for i in range(1, len(ids)):
-                bound = np.minimum(pts[:i], pts[i]).sum(axis=1) >= sizes.needed(length[i], length[:i])
-                for j in np.flatnonzero(bound):
-                    if forest.find(i) != forest.find(int(j)) and sizes.links(sets[i], sets[j]):
-                        forest.join(i, int(j))
-                        out.append((ids[i], ids[j]))
+            for i, j in sorted((i, j) for i, j in zip(left.tolist(), right.tolist()) if i > j):
+                if forest.find(i) != forest.find(j) and sizes.links(sets[i], sets[j]):
+                    forest.join(i, j)
+                    out.append((ids[i], ids[j]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
@@ -296,11 +298,11 @@ def _meetings(sigs: DataFrame) -> DataFrame:
     return cold.where("lo <> hi").select(*names).union(warm.select(*names))
 
 
-def _candidates(blocks: DataFrame, sizes: Sizes) -> DataFrame:
-    """Pairs (a, b) of different components that the tree of each block leaves, of rows (sig, block, own, id, comp, n, counts, wide): own rows
-    are in the tree, all rows search it. wide holds a document's wide signatures where sig is one, so that each pair leaves one
+def _candidates(tiles: DataFrame, sizes: Sizes) -> DataFrame:
+    """Pairs (a, b) of different components that the tree of each tile leaves, of rows (sig, i, j, tile, id, comp, n, counts, wide): the rows
+    of tile i are in the tree, those of tile j search it. wide holds a document's wide signatures where sig is one, so that each pair leaves one
     wide signature and not all that it shares."""
-    names = ["sig", "block", "own", "id", "comp", "n", "counts", "wide"]
+    names = ["sig", "i", "j", "tile", "id", "comp", "n", "counts", "wide"]
 
     def run(batches):
         found: set[tuple[int, int]] = set()
@@ -310,25 +312,25 @@ def _candidates(blocks: DataFrame, sizes: Sizes) -> DataFrame:
             found.clear()
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in (0, 1)], names=["a", "b"])
 
-        for _, group in _runs(batches, names, 2):
-            own = [r for r in group if r[2]]
-            if not own or len(group) < 2:
+        for (sig, i, j), group in _runs(batches, names, 3):
+            tile, ids, comp, n = (np.array([r[k] for r in group]) for k in (3, 4, 5, 6))
+            mine, theirs = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+            if not len(mine) or not len(theirs) or len(group) < 2:
                 continue
-            pts, n, comp, ids = np.array([_unpack(r[6]) for r in group]), *(np.array([r[k] for r in group]) for k in (5, 4, 3))
-            mine = np.flatnonzero([r[2] for r in group])
-            at, by = RTree(pts[mine], n[mine], comp[mine], sizes).search(pts, n, comp)
-            if group[0][7] is not None and len(at):
-                wide, sig = [set(r[7]) for r in group], group[0][0]
-                least = [min(wide[i] & wide[j]) == sig for i, j in zip(at.tolist(), mine[by].tolist())]
+            pts = np.array([_unpack(r[7]) for r in group])
+            at, by = RTree(pts[mine], n[mine], comp[mine], sizes).search(pts[theirs], n[theirs], comp[theirs])
+            at, by = theirs[at], mine[by]
+            if group[0][8] is not None and len(at):
+                wide = [set(r[8]) for r in group]
+                least = [min(wide[x] & wide[y]) == sig for x, y in zip(at.tolist(), by.tolist())]
                 at, by = at[least], by[least]
-            a, b = ids[mine][by], ids[at]
-            found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+            found.update(zip(np.minimum(ids[at], ids[by]).tolist(), np.maximum(ids[at], ids[by]).tolist()))
             if len(found) > PAIRS:
                 yield flush()
         yield flush()
 
-    by = ["sig", "block"]
-    return blocks.select(*names).repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long").distinct()
+    by = ["sig", "i", "j"]
+    return tiles.select(*names).repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified_pairs(pairs: DataFrame, docs: DataFrame, n: int, sizes: Sizes) -> DataFrame:
@@ -358,8 +360,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null and empty texts have no elements and link with nothing, nor do rows with a null id (their component is null). Rows that
     share an id are one node, which links as any of them does. Repeated rows stay; other columns are not read. An empty table gives an empty result.
 
-    No cap: every pair that can link shares a signature, and every signature that meets several components is searched whole, in
-    blocks if it is large: rows of its most frequent component go to one block each, all others to every block.
+    No cap: every pair that can link shares a signature, and every signature that meets several components is searched whole, tile
+    by tile if it is large: rows of its most frequent component meet all others, and those meet each other too.
     """
     ship(docs.sparkSession)
     sizes = Sizes(percent)
@@ -370,9 +372,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = save(with_set.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     named = save(join_groups(with_set.select("id", "n", "f1", "f2"), classes, ["n", "f1", "f2"], "copies").select("id", "n", "rep"), "named")
     reps = named.where("id = rep").select("id", "n").distinct()
-    same = named.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
-    # rounds of min-hash: blocks of a key
+    # rounds of min-hash: trees of a key
     keys = with_set.select("id", "n", "keys").join(reps, ["id", "n"], "left_semi")
     keys = save(keys.select("id", F.posexplode("keys").alias("round", "key")), "keys")
     shared = save(keys.groupBy("round", "key").agg(F.count("*").alias("rows")).where("rows > 1"), "shared")
@@ -388,17 +389,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = save(_meetings(sigs), "members")
     # a document has as many signatures as its length gives
     wide = members.where(F.col("rows") > WIDE).groupBy("id").agg(F.collect_set("sig").alias("wide"))
-    most = members.where(F.col("rows") > WIDE_BLOCK).groupBy("sig", "comp").count().groupBy("sig").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-    members = members.join(most, "sig", "left").withColumn("blocks", F.ceil(F.col("rows") / WIDE_BLOCK).cast("int"))
-    members = members.withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    visits = F.when((F.col("blocks") > 1) & (F.col("comp") != F.col("main")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))
-    members = members.select("sig", "id", "comp", "home", (F.col("rows") > WIDE).alias("is_wide"), F.explode(visits).alias("block"))
-    members = members.select("sig", "block", (F.col("home") == F.col("block")).alias("own"), "id", "comp", "is_wide")
+    large = members.where(F.col("rows") > TILE)
+    most = large.groupBy("sig", "comp").agg(F.count("*").alias("n"), F.first("rows").alias("rows"))
+    most = save(most.groupBy("sig").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("main_rows"), F.first("rows").alias("all_rows")), "largest")
+    large = join_groups(large, most, ["sig"], "all_rows")
+    large = meetings_of_tiles(large, F.col("id"), F.col("comp") != F.col("main"), F.col("rows") - F.col("main_rows"), F.col("main_rows"), TILE)
+    small = members.where(F.col("rows") <= TILE).select("*", *(F.lit(0).alias(c) for c in ("tile", "i", "j")))
+    tiles = small.unionByName(large.select(small.columns)).withColumn("is_wide", F.col("rows") > WIDE)
     points_of = with_set.select("id", "n", "counts").join(wide, "id", "left")
-    members = members.join(points_of, "id").withColumn("wide", F.when(F.col("is_wide"), F.col("wide")))
-    pairs = save(_candidates(members, sizes), "pairs")
-    more = _verified_pairs(pairs, docs, n, sizes)
-
-    components = connected_components(save(edges.union(more).union(same), "all_edges"))
-    sized = sketch.select("id", F.col("n").alias("n_shingles"))
-    return sized.join(components, sized["id"] == components["node"], "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    tiles = tiles.join(points_of, "id").withColumn("wide", F.when(F.col("is_wide"), F.col("wide")))
+    pairs = save(_candidates(tiles, sizes), "pairs")
+    more = save(_verified_pairs(pairs, docs, n, sizes), "more")
+
+    # an id with several sets joins their classes; copies are no nodes
+    several = named.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last"), F.count("*").alias("rows")).where("a <> last")
+    several = join_groups(named.select("id", "rep"), save(several, "several"), ["id"], "rows").select("a", F.col("rep").alias("b"))
+    components = connected_components(edges.union(more).union(several))
+    found = classes.groupBy("rep").agg(F.sum("copies").alias("copies")).join(components, F.col("rep") == F.col("node"), "left")
+    found = save(found.select("rep", "copies", F.coalesce("component", "rep").alias("component_id")), "components")
+    out = join_groups(named, found, ["rep"], "copies").select("id", F.col("n").alias("n_shingles"), "component_id")
+    # rows without words belong to the component of the other rows with their id
+    empty = sketch.where("n = 0 OR id IS NULL").select("id", F.col("n").alias("n_shingles"))
+    others = out.select(F.col("id").alias("other"), "component_id").distinct()
+    empty = empty.join(others, empty["id"] == others["other"], "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    return out.unionByName(empty)
