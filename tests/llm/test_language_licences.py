@@ -74,3 +74,43 @@ def test_language_model(spark):
     none = language.fit(docs.limit(0))
     assert language.identify(docs, none).where("lang_pred <> 'und'").count() == 0
     assert language.identify(docs.limit(0), model).count() == 0
+
+
+def test_shares_and_choice_equal_enumeration():
+    """Shares by a grid of the simplex, and the chosen languages by the penalised likelihood of every set."""
+    from itertools import combinations
+
+    import numpy as np
+
+    rng = random.Random(13)
+    model = language.Model(["a", "b", "c"], np.vstack([sum_of(made(rng, k, 3000)) for k in "abc"]))
+    steps = [np.array([i, j, 100 - i - j]) / 100 for i in range(101) for j in range(101 - i)]
+    checked = 0
+    for lengths in [(80, 0, 0), (0, 60, 0), (60, 50, 0), (30, 0, 90), (70, 70, 70), (10, 120, 0), (200, 4, 0)]:
+        text = " ".join(made(rng, k, n) for k, n in zip("abc", lengths) if n)
+        bins, counts = language.histogram(text)
+        p = model.p[:, bins]
+        shares = model.proportions(bins, counts)
+        own = np.array([shares.get(k, 0.0) for k in "abc"])
+        best = {}
+        for size in (1, 2, 3):
+            for some in combinations(range(3), size):
+                grid = [w for w in steps if not np.delete(w, some).any()]
+                values = [counts @ np.log(np.maximum(w @ p, 1e-300)) for w in grid]
+                best[some] = max(values), grid[int(np.argmax(values))]
+        cost = language.PENALTY * np.log(counts.sum() + 1)
+        chosen = max(best, key=lambda s: best[s][0] - cost * len(s))
+        if sorted(best[s][0] - cost * len(s) for s in best)[-2] < best[chosen][0] - cost * len(chosen) - 2:  # no near tie
+            assert set(shares) == {"abc"[k] for k in chosen}, lengths
+            assert np.abs(own - best[chosen][1]).max() <= 0.02 and counts @ np.log(own @ p) >= best[chosen][0] - 0.5
+            checked += 1
+    assert checked >= 5
+
+
+def sum_of(text):
+    import numpy as np
+
+    bins, counts = language.histogram(text)
+    out = np.zeros(language.BINS)
+    out[bins] = counts
+    return out

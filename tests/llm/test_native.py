@@ -36,6 +36,26 @@ def test_bad_host_goes_whole(spark):
     assert not out[300] and out[400] and not out[900] and out[901]
 
 
+def test_bad_hosts_fall_in_sql_too(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(9)
+    made = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(rng.choice([20, 40])))
+    junk = lambda: rng.choice([made() + "".join(f" {k}###" for k in range(30)), "short", "x " * 30, "\n".join(["same line here"] * 20)])
+    rows = [(k, junk() if rng.random() < share else made(), f"s{host}") for k in range(900) for host, share in [rng.choice(list(enumerate([0.0, 0.05, 0.1, 0.1, 0.3, 0.95])))]]
+    rows += [(1000, None, "s0"), (1001, "", None), (1002, made(), None), (7, made(), "s5"), (7, made(), "s5"), (None, made(), "s1")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op5_quality(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.ORACLES["op5_quality"])
+    names = [d[0] for d in want.description]
+    assert sorted(repr(tuple(r)) for r in out.select(names).collect()) == sorted(map(repr, want.fetchall()))
+    judged = quality.judge(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
+    fallen = {r.host for r in judged if r.host_shrunk > r.host_limit}
+    assert fallen == {"s5"} and any(not r.failed and not r.kept for r in judged) and any(r.failed and not r.base_failed for r in judged)
+
+
 def test_document_rules_decide_and_count_for_hosts(spark):
     good = " ".join(f"word{k}" for k in range(40))
     junk = " ".join(f"thon{k}$$$ to%%%" for k in range(20))
@@ -121,6 +141,34 @@ def test_mined_rules_equal_brute_force(spark):
     assert got == want and (("a", "e"), "block") in got
 
 
+def brute_tokens(host, path):
+    parts = [x for x in host.split(".") if x]
+    out = {f"h{k}:{'.'.join(parts[-k:])}" for k in range(1, len(parts) + 1)} | ({f"s:{parts[0]}"} if parts else set())
+    return out | {"p:" + ("0" if re.match("[0-9]", x) else x) for x in path.split("/") if x}
+
+
+def test_mined_verdicts_equal_a_scan_of_all_rules(spark):
+    rng = random.Random(11)
+    made = [f"http://{rng.choice('abc')}.{rng.choice('xyz')}.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'de', 'es', 'fr'])}/{rng.choice(['7', '8', 'page', 'k'])}" for _ in range(700)]
+    made += [f"http://k.{rng.choice('xy')}.{rng.choice(['com/en', 'com/en', 'com/en', 'org/fr', 'net/es'])}/{rng.choice('123')}" for _ in range(150)]
+    made += [f"http://q.{rng.choice([*['example.com/en/7'] * 7, 'x.org/de/7', 'y.net/fr/7'])}" for _ in range(130)]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(made)] + [(1000, None), (1001, "http://")], "page_id long, url string")
+    out = {r.id: r for r in urls.judge_urls(pages).collect()}
+    rows = {k: brute_url(u) for k, u in enumerate(made)} | {1000: ("", ""), 1001: ("", "")}
+    labelled = [(sorted(brute_tokens(h, p)), brute_rule(h, p)[1]) for h, p in rows.values()]
+    mined = urls.mine(spark.createDataFrame(labelled, "tokens array<string>, label string")).collect()
+    decided = set()
+    for k, (h, p) in rows.items():
+        rule, verdict = brute_rule(h, p)
+        fits = [(r.confidence, r.support, r.verdict) for r in mined if set(r.tokens) <= brute_tokens(h, p)]
+        assert (out[k].rule, out[k].verdict) == (rule, verdict or (max(fits)[2] if fits else "allow"))
+        if verdict is None and fits:
+            decided.add(max(fits)[2])
+            best = {frozenset(r.tokens) for r in mined if (r.confidence, r.support, r.verdict) == max(fits)}
+            assert frozenset(out[k].mined) in best
+    assert decided == {"allow", "block"}
+
+
 def test_queries_cover_their_tables(spark):
     sf = "/root/testdata/sf0.001"
     assert queries.op1_chat(spark, sf).count() == spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().count() + 1

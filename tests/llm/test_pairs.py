@@ -95,7 +95,8 @@ def test_tree_leaves_out_only_what_cannot_link():
     assert len(found) < len(sets) ** 2 / 4
 
 
-def test_vectors_equal_brute_force(spark):
+@pytest.mark.parametrize("cut_share", [0.0, 1.0, 100.0])
+def test_vectors_equal_brute_force(spark, cut_share):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((30, 16))
     vecs = [base[rng.integers(30)] * rng.uniform(0.5, 2) + rng.standard_normal(16) * rng.choice([0, 0.05, 0.2, 0.3]) for _ in range(220)]
@@ -103,7 +104,12 @@ def test_vectors_equal_brute_force(spark):
     rows += [(k + 1000, rows[0][1], 0) for k in range(20)] + [(1100, None, 1), (1101, [0.0] * 16, 1), (1102, [float("nan")] * 16, 1), (1103, rows[1][1], None), (1103, rows[1][1], None),
              (1104, [None] * 16, 1), (1105, [], 1), (1106, [1.0, 2.0], 1), (1107, [2.0, 4.0], 1), (None, rows[1][1], 1), (1108, [-0.0, 1.0], 1), (1109, [0.0, 1.0], 1), (1110, [float("inf"), 1.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 AS node", "2 AS tile", "3 AS id")
-    out = embeddings.near_vectors(df, tile=16).collect()
+    check_vectors(df, rows, tile=16, cut_share=cut_share)
+    assert embeddings.near_vectors(df.limit(0)).count() == 0
+
+
+def check_vectors(df, rows, **settings):
+    out = embeddings.near_vectors(df, **settings).collect()
 
     def able(r):
         return r[0] is not None and r[2] is not None and r[1] and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])
@@ -112,15 +118,38 @@ def test_vectors_equal_brute_force(spark):
         x, y = np.array(a[1], float), np.array(b[1], float)
         return a[2] == b[2] and len(x) == len(y) and x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= 0.93
 
-    good = [r for r in rows if able(r)]
-    links = [(a[0], b[0]) for i, a in enumerate(good) for j, b in enumerate(good) if i != j and close(a, b)]
-    up = brute_components([r[0] for r in rows], links)
-    n = {}
-    for a, _ in links:
-        n[a] = n.get(a, 0) + 1
-    want = sorted(repr((r[0], n.get(r[0], 0) if able(r) else 0, up.get(r[0]), r[0] is None or up[r[0]] == r[0])) for r in rows)
+    good = [k for k, r in enumerate(rows) if able(r)]
+    links = [(i, j) for i in good for j in good if i != j and close(rows[i], rows[j])]
+    up = brute_components([r[0] for r in rows], [(rows[i][0], rows[j][0]) for i, j in links])
+    n = [0] * len(rows)
+    for i, _ in links:
+        n[i] += 1
+    want = sorted(repr((r[0], n[k], up.get(r[0]), r[0] is None or up[r[0]] == r[0])) for k, r in enumerate(rows))
     assert sorted(repr((r.id, r.n_links, r.component_id, r.kept)) for r in out) == want
-    assert embeddings.near_vectors(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("cut_share", [0.0, 100.0])
+def test_planted_vectors_of_64_dimensions(spark, cut_share):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((400, 64))
+    vecs = [base[k % 400 if k < 400 else rng.integers(40)] + rng.standard_normal(64) * (0.0 if k < 400 else rng.choice([0.1, 0.2, 0.26, 0.3])) for k in range(700)]
+    rows = [(k, v.astype(np.float32).tolist(), int(k % 5 == 0)) for k, v in enumerate(vecs)]
+    # an id with several vectors joins their components
+    rows += [(900, rows[1][1], 0), (900, rows[2][1], 0), (901, rows[3][1], 0), (901, None, 0), (902, (np.array(rows[4][1]) * 2.0**40).tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    check_vectors(df, rows, tile=64, cut_share=cut_share)
+
+
+def test_cells_hold_every_pair_within_the_budget():
+    rng = np.random.default_rng(5)
+    x, cuts = rng.standard_normal((300, 3)), np.sort(rng.standard_normal((3, 3)), axis=1)
+    home, who, where = embeddings.cells_of(x, cuts, 0.25)
+    reach = set(zip(who.tolist(), where.tolist()))
+    for i in range(300):
+        for j in range(300):
+            if home[i] != home[j] and ((x[i] - x[j]) ** 2).sum() <= 0.25:
+                assert (i, home[j]) in reach
+    assert len(reach) < 300 * 40
 
 
 def test_components_of_chains_and_hubs(spark):
@@ -159,3 +188,34 @@ def test_samples_of_any_share(spark):
     ids = spark.range(200_000)
     count = lambda share: ids.where(shared.sampled(share, "x", F.col("id"))).count()
     assert count(1.0) == count(7.0) == 200_000 and count(0.0) == 0 and 300 < count(1 / 400) < 700
+
+
+def test_a_passage_that_all_documents_share_fits_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 64)
+    rng, seen = random.Random(14), []
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    passage = [word() for _ in range(55)]
+    rows = [(k, " ".join(passage + [word() for _ in range(14)])) for k in range(1500)]
+    rows += [(2000 + k, rows[k][1] + " end") for k in range(5)]
+    real = jaccard._candidates
+
+    def watch(tiles, sizes):
+        seen.append(tiles.groupBy("sig", "i", "j").count().agg({"count": "max"}).first()[0])
+        return real(tiles, sizes)
+
+    monkeypatch.setattr(jaccard, "_candidates", watch)
+    out = {r.id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n=4, percent=85).collect()}
+    assert out == {k: k - 2000 if k >= 2000 else k for k, _ in rows}
+    assert 64 < max(seen) <= 2 * 64
+
+
+def test_hubs_are_broadcast_to_their_edges(spark):
+    # a star of 10,000 whose centre has the largest id, one whose centre has the smallest, and a bridge
+    edges = spark.range(10_000).selectExpr("id AS a", "1000000 AS b").union(spark.range(20_000, 30_000).selectExpr("10001 AS a", "id AS b"))
+    edges = edges.union(spark.createDataFrame([(5, 40_000), (40_000, 40_001)], "a long, b long"))
+    out = shared.connected_components(edges)
+    got = {(r.component, r.n) for r in out.groupBy("component").agg({"node": "count"}).withColumnRenamed("count(node)", "n").collect()}
+    assert got == {(0, 10_003), (10_001, 10_001)}
+    both = edges.union(edges.selectExpr("b", "a")).toDF("u", "v")
+    plan = shared._with_least(both, "true", 20_002)._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan or "Join Inner" in plan and "broadcast" in plan

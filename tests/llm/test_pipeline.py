@@ -98,7 +98,7 @@ def passes_quality(docs):
     m = sum(map(sum, hosts.values())) / n
     v = sum(len(x) * (sum(x) / len(x)) ** 2 for x in hosts.values()) / n - m * m
     k = max(1, min(1e6, m * (1 - m) / v - 1)) if v > 1e-12 else 1e6
-    return [d for d in docs if not fails(d[1]) and (sum(hosts[d[3]]) + m * k) / (len(hosts[d[3]]) + k) <= 0.9]
+    return [d for d in docs if not fails(d[1]) and (sum(hosts[d[3]]) + m * k) / (len(hosts[d[3]]) + k) <= m + 0.5 * (1 - m)]
 
 
 def one_of_each(docs):

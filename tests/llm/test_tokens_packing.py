@@ -120,3 +120,46 @@ def test_long_chunks_are_not_remembered(encoder, library):
     text = "ab" * 3000 + " " + "cd" * 3000 + "\n" + "e" * 5000
     assert list(array("I", encoder[0].encode(text))) == library.encode(text, add_special_tokens=False).ids
     assert all(len(c) <= tokens.MEMORY_LENGTH for m in (encoder[0].head, encoder[0].tail) for c in m)
+
+
+def test_three_limits_close_sequences_of_conversations(spark):
+    import public_tokenizers
+
+    from tidelog.llm import packing, queries, tokens
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    schema = "id long, parts array<struct<text:string, loss:boolean>>"
+    talks = {}
+    for r in rows.orderBy("conv_id", "turn").collect():
+        talks.setdefault(r.conv_id, []).append((r.text, r.role == "assistant"))
+    examples = [*talks.items(), (-1, None), (-2, [(None, True), ("", None), ("x y", None)]), (-2, [("again", True)]), (None, [("no id", True)])]
+    df = spark.createDataFrame(examples, schema).coalesce(2)
+    added = tokens.Vocabulary(queries.vocabulary(queries.BPE)).added
+    encoder = packing.rank_encoder(queries.vocabulary(queries.RANKS), public_tokenizers.PATTERN, added)
+    limits = {"max_tokens": 1024, "max_segments": 6, "max_loss": 420}
+    out = packing.pack_examples(df, queries.vocabulary(queries.RANKS), public_tokenizers.PATTERN, added, **limits).collect()
+    want, bears = {}, {}
+    for key, parts in examples:
+        ids, loss = b"", []
+        for text, has in parts or []:
+            part = encoder.encode(text or "")
+            ids, loss = ids + part, loss + [bool(has)] * (len(part) // 4)
+        want.setdefault(key, []).append(ids + bytes(4))
+        bears.setdefault(key, []).append(loss + [False])
+    single = {k for k, v in want.items() if len(v) == 1}
+    got = {}
+    for r in out:
+        got.setdefault(r.id, []).append((r.start, bytes(r.ids)))
+    assert {k: b"".join(x for _, x in sorted(got[k])) for k in single} == {k: want[k][0] for k in single} and set(got) == set(want)
+    sequences = {}
+    for r in out:
+        lost = sum(bears[r.id][0][r.start : r.start + r.length]) if r.id in single else 0
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length, lost))
+    closed = {"tokens": 0, "segments": 0, "loss": 0}
+    for pieces in sequences.values():
+        total, loss = sum(p[1] for p in pieces), sum(p[2] for p in pieces)
+        assert total <= 1024 and len(pieces) <= 6 and loss <= 420 and (total == 1024 or total & (total - 1) == 0)
+        closed["tokens"] += total == 1024
+        closed["segments"] += total < 1024 and len(pieces) == 6
+        closed["loss"] += total < 1024 and loss >= 200 and len(pieces) < 6
+    assert min(closed.values()) > 0, closed

@@ -73,3 +73,65 @@ def test_very_long_words_are_judged_like_short_ones():
     assert trie.near("vexal" + "z" * 200_000) == trie.near("vexalz") == "near_stem"
     model = toxicity.Model(["grumpox"], ["vexil"])
     assert model.kind("vexil" + "z" * 200_000) == "stem" and not any(len(w) > toxicity.MEMORY_LENGTH for w in model.known)
+
+
+def brute_features(model, text):
+    """Features by one pass over all words and their places."""
+    import re
+
+    import numpy as np
+
+    low = text.lower()
+    found = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\W_]+(?:[*@$][^\W_]+)*", low)]
+    counts, kinds = dict.fromkeys(toxicity.FEATURES, 0.0), set()
+
+    def kind(w):
+        if w in model.trie.words:
+            return "word"
+        if any(w.startswith(s) for s in model.trie.stems):
+            return "stem"
+        if any(len(t) >= 5 and edits(t, w)[-1] <= 1 for t in model.trie.words - model.trie.stems) and len(w) >= 4:
+            return "near"
+        return "near_stem" if len(w) >= 4 and any(len(s) >= 5 and min(edits(s, w)) <= 1 for s in model.trie.stems) else None
+
+    for a, b, w in found:
+        k = kind(w)
+        if not k:
+            continue
+        kinds.add(w)
+        counts[k] += 1
+        before, after = low[max(0, a - 60) : a], low[b : b + 60]
+        around = set(re.findall(r"[^\W_]+(?:[*@$][^\W_]+)*", before)) | set(re.findall(r"[^\W_]+(?:[*@$][^\W_]+)*", after))
+        is_open = sum(before.count(q) for q in '"“„«') % 2 == 1 and any(q in after for q in "\"'“”„«»‘’")
+        counts["quoted"] += bool(before and before[-1] in "\"'“”„«»‘’") or is_open
+        counts["reported"] += bool(around & toxicity.REPORTS)
+        counts["spoken"] += bool(around & toxicity.YOU)
+    hits = sum(counts[k] for k in ("word", "stem", "near", "near_stem"))
+    counts |= {"density": 1000 * hits / max(1, len(found)), "kinds": len(kinds)}
+    return [float(np.log(1 + counts[k])) for k in toxicity.FEATURES] if hits else None
+
+
+def test_features_and_scores_equal_brute_force():
+    import math
+
+    import numpy as np
+
+    rng = random.Random(12)
+    parts = ["scoundrel", "scoundrl", "nitwits", "nitwlt", "blockhead", "you", "said", "the", "ta", "ko", '"', "'", "“", "„", ",", ".", "word", "Du", "SCOUNDREL", "sc*undrel", "blockheads"]
+    weights = np.array([-1.0, 0.5, 0.4, 0.3, 0.2, -0.8, -0.4, 0.6, 0.1, 0.2])
+    means = np.linspace(0, 0.5, len(toxicity.FEATURES))
+    model = toxicity.Model(["scoundrel", "blockhead"], ["nitwit"], weights, means, 0.05)
+    met = 0
+    for _ in range(500):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randint(1, 25))).replace(' " ', ' "')
+        want, got = brute_features(model, text), model.features(text)
+        assert (want is None) == (got is None) and (want is None or np.allclose(got, want)), text
+        z = None if want is None else weights[0] + sum(w * (x - m) for w, x, m in zip(weights[1:], want, means))
+        assert abs(model.score(text) - (0.05 if z is None else 1 / (1 + math.exp(-z)))) < 1e-12
+        met += want is not None
+    assert met > 300
+
+
+def test_terms_have_no_cap():
+    rows = [(f"term{k}x", False, 10, 0) for k in range(5000)]
+    assert len(toxicity.choose_terms(rows, 0.1)[0]) == 5000

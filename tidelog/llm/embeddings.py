@@ -19,11 +19,14 @@ BLOCKS = 4
 #: Different vectors in a tile; a task compares two tiles.
 TILE = 1024
 #: Coordinates of a block by which a label's space may be cut, each at its quartiles: at most 4 ** CUTS cells a block.
-CUTS = 5
-#: All of a vector's blocks are searched at once (labels of a tile or less).
+CUTS = 6
+#: All of a vector's blocks are searched at once (labels that are not cut).
 ALL_BLOCKS = -1
-#: Pairs that are verified at a time.
+#: A label is cut if the pairs that then meet in the cells of all its blocks are at most this many times all its pairs.
+CUT_SHARE = 1.0
+#: Pairs that are verified at a time, and vectors that are placed at a time.
 PAIRS = 8192
+PLACED = 512
 _QUARTILES = (0.25, 0.5, 0.75)
 
 
@@ -90,23 +93,23 @@ def _placed(tile: int, min_cosine: float):
         for batch in batches:
             rows, dims = batch.column("rows").to_numpy(zero_copy_only=False), batch.column("dim").to_numpy(zero_copy_only=False)
             lead, cuts = batch.column("lead").to_pylist(), batch.column("cuts").to_pylist()
-            small = np.flatnonzero([depth(int(r), tile) == 0 for r in rows])
+            small = np.flatnonzero([c is None for c in cuts])
             at, block, cell, own = [small], [np.full(len(small), ALL_BLOCKS)], [np.zeros(len(small), np.int64)], [np.ones(len(small), bool)]
             groups: dict = {}
             for k in np.setdiff1d(np.arange(len(rows)), small).tolist():
                 groups.setdefault((int(dims[k]), int(rows[k]), repr(cuts[k])), []).append(k)
-            for (dim, n, _), members in groups.items():
-                members = np.array(members)
-                for b, (first, last) in enumerate(block_edges(dim)):
-                    q = min(depth(n, tile), last - first)
-                    x = np.array([lead[k][b * CUTS : b * CUTS + q] for k in members.tolist()], float)
-                    home, who, where = cells_of(x, np.array(cuts[members[0]][b * CUTS : b * CUTS + q], float), budget(dim, min_cosine))
-                    higher = where > home[who]
-                    who, where = who[higher], where[higher]
-                    at += [members, members[who]]
-                    block.append(np.full(len(members) + len(who), b))
-                    cell += [home, where]
-                    own += [np.ones(len(members), bool), np.zeros(len(who), bool)]
+            for (dim, n, _), every in groups.items():
+                for members in (np.array(every[k : k + PLACED]) for k in range(0, len(every), PLACED)):
+                    for b, (first, last) in enumerate(block_edges(dim)):
+                        q = min(depth(n, tile), last - first)
+                        x = np.array([lead[k][b * CUTS : b * CUTS + q] for k in members.tolist()], float)
+                        home, who, where = cells_of(x, np.array(cuts[members[0]][b * CUTS : b * CUTS + q], float), budget(dim, min_cosine))
+                        higher = where > home[who]
+                        who, where = who[higher], where[higher]
+                        at += [members, members[who]]
+                        block.append(np.full(len(members) + len(who), b))
+                        cell += [home, where]
+                        own += [np.ones(len(members), bool), np.zeros(len(who), bool)]
             at = np.concatenate(at)
             part = batch.select(["h1", "h2", "label", "dim"]).take(pa.array(at))
             more = [pa.array(np.concatenate(block).astype(np.int32)), pa.array(np.concatenate(cell).astype(np.int32)), pa.array(np.concatenate(own))]
@@ -175,7 +178,7 @@ def compare_tiles(part: pd.DataFrame, min_cosine: float) -> pd.DataFrame:
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-                 min_cosine: float = MIN_COSINE, tile: int = TILE) -> DataFrame:
+                 min_cosine: float = MIN_COSINE, tile: int = TILE, cut_share: float = CUT_SHARE) -> DataFrame:
     """Rows (id, n_links, component_id, kept) for all rows of vectors; kept is id = component_id.
 
     Vectors link when their labels are equal and not null, their lengths are equal and their cosine is at least min_cosine. Vectors that
@@ -184,9 +187,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Equal vectors are one class with its number of copies (aggregated before the shuffle), so a group of copies of any
     size is one point. In each block a label's space is cut into cells at quartiles of some coordinates, the more of them the more
-    vectors it has (labels of one tile are not cut). A vector visits the cells that lie within the block's budget of it,
-    so that every pair of the block's range join meets in one cell. Cells of many vectors are compared tile by tile: a task
-    has two tiles, and returns at most one row per vector, not pairs. A pair counts in the first block whose budget it keeps.
+    vectors it has. A vector visits the cells that lie within the block's budget of it, so that every pair of the block's range join
+    meets in one cell. Cells of many vectors are compared tile by tile: a task has two tiles, and returns at most one
+    row per vector, not pairs. A pair counts in the first block whose budget it keeps. A label of one tile, or one whose cells would
+    bring more pairs together than there are (cut_share), is one cell in which all blocks' budgets are looked at.
     """
     ship(vectors.sparkSession)
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vec"))
@@ -204,14 +208,26 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     on = ["label", "dim"]
     sizes = save(classes.groupBy(*on).agg(F.count("*").alias("rows")), "labels")
     large = sizes.where(F.col("rows") > tile)
-    cut = lambda k: F.percentile_approx(F.try_element_at("lead", F.lit(k + 1)), list(_QUARTILES), 100)
-    cuts = join_groups(classes.select(*on, "lead"), large, on, "rows").groupBy(*on).agg(F.array(*map(cut, range(BLOCKS * CUTS))).alias("cuts"))
-    grid = save(sizes.join(cuts, on, "left"), "grid")
-    places = join_groups(classes.select("h1", "h2", *on, "lead"), grid, on, "rows")
-    places = save(places.mapInArrow(_placed(tile, min_cosine), f"h1 long, h2 long, label {kind}, dim int, block int, cell int, own boolean"), "places")
+    quartiles = lambda k: F.percentile_approx(F.try_element_at("lead", F.lit(k + 1)), list(_QUARTILES), 100)
+    cuts = join_groups(classes.select(*on, "lead"), large, on, "rows").groupBy(*on).agg(F.array(*map(quartiles, range(BLOCKS * CUTS))).alias("cuts"))
+    cuts = save(cuts.join(large, on), "cuts")
     cell = [*on, "block", "cell"]
-    owners = F.sum(F.col("own").cast("long"))
-    counts = save(places.groupBy(*cell).agg(owners.alias("own_rows"), (F.count("*") - owners).alias("other_rows"), F.count("*").alias("rows")), "cells")
+
+    def placed(grid):
+        places = join_groups(classes.select("h1", "h2", *on, "lead"), grid, on, "rows")
+        return places.mapInArrow(_placed(tile, min_cosine), f"h1 long, h2 long, label {kind}, dim int, block int, cell int, own boolean")
+
+    def counted(places):
+        owners = F.sum(F.col("own").cast("long"))
+        return places.groupBy(*cell).agg(owners.alias("own_rows"), (F.count("*") - owners).alias("other_rows"), F.count("*").alias("rows"))
+
+    # cells only save work where few of them are near a vector, which their numbers of vectors tell
+    met = F.expr("own_rows * (own_rows - 1D) / 2 + own_rows * 1D * other_rows")
+    work = save(counted(placed(cuts)).groupBy(*on).agg(F.sum(met).alias("met")), "work").join(large, on)
+    cut = work.where(f"met <= {cut_share}D * rows * (rows - 1D) / 2")
+    grid = save(sizes.join(cuts.drop("rows").join(cut.select(*on), on, "left_semi"), on, "left"), "grid")
+    places = save(placed(grid), "places")
+    counts = save(counted(places), "cells")
     t = join_groups(places, counts, cell, "rows")
     t = meetings_of_tiles(t, F.struct("h1", "h2"), F.col("own"), F.col("own_rows"), F.col("other_rows"), tile)
     t = t.join(classes.select("h1", "h2", "node", "copies", "vec", "rot"), ["h1", "h2"])

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from .shared import ship
 from .tokens import ChunkEncoder, _arrow
 
 MAX_TOKENS = 1024
-MAX_SEGMENTS = 256
+MAX_SEGMENTS = 32
 MAX_LOSS = 1024
 #: Items among which the next one is chosen.
 POOL = 256
@@ -46,14 +48,20 @@ class Packer:
 
     @staticmethod
     def _loss(doc, start, stop) -> int:
-        """Loss-bearing ids in a run: those before the document's loss_stop."""
-        return max(0, min(stop, doc[2]) - start)
+        """Loss-bearing ids in a run: those before the document's loss_stop, or by its running count of them."""
+        return max(0, min(stop, doc[2]) - start) if isinstance(doc[2], int) else doc[2][stop] - doc[2][start]
 
-    def add(self, key, ids: bytes, n: int, loss_stop: int) -> Iterator[tuple]:
-        """Take a document; yields pieces (key, start, length, ids, doc tokens, sequence, offset) of finished sequences."""
-        doc, most = (key, ids, loss_stop, n), self.caps[0]
+    @staticmethod
+    def _within(doc, start, most) -> int:
+        """Ids from start on that hold at most `most` loss-bearing ones, most >= 1."""
+        return most if isinstance(doc[2], int) else bisect_right(doc[2], doc[2][start] + most) - 1 - start
+
+    def add(self, key, ids: bytes, n: int, loss: int | list[int]) -> Iterator[tuple]:
+        """Take a document; yields pieces (key, start, length, ids, doc tokens, sequence, offset) of finished sequences. loss says which
+        ids bear loss: those before a place, or a list of their numbers before each place and at the end."""
+        doc, most = (key, ids, loss, n), self.caps[0]
         start = 0
-        while n - start >= most and min(most, loss_stop - start) <= self.caps[2]:
+        while n - start >= most and self._loss(doc, start, start + most) <= self.caps[2]:
             yield from self._seal([(doc, start, start + most)])
             start += most
         if start < n:
@@ -88,7 +96,7 @@ class Packer:
                 doc, a, b = self._take(k)
                 cut = min(int(free[0]), b - a)
                 if self._loss(doc, a, a + cut) > free[2]:
-                    cut = int(free[2])
+                    cut = self._within(doc, a, int(free[2]))
                 run = (doc, a, a + cut)
                 self._put([(doc, a + cut, b)])
             runs.append(run)
@@ -116,7 +124,7 @@ _WORKER: dict = {}
 
 
 def _packed(documents: Iterable[tuple], id_type: pa.DataType, limits: tuple) -> Iterator[pa.RecordBatch]:
-    """Pack (key, ids, loss_stop) of one partition; sequence ids carry the partition's number."""
+    """Pack (key, ids, loss) of one partition; sequence ids carry the partition's number."""
     packer, base = Packer(*limits), TaskContext.get().partitionId() * PER_PARTITION
     schema, rows = pa.schema([("id", id_type), *FIELDS]), []
 
@@ -125,8 +133,8 @@ def _packed(documents: Iterable[tuple], id_type: pa.DataType, limits: tuple) ->
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def pieces():
-        for key, ids, loss_stop in documents:
-            yield from packer.add(key, ids, len(ids) // 4, loss_stop)
+        for key, ids, loss in documents:
+            yield from packer.add(key, ids, len(ids) // 4, loss)
         yield from packer.finish()
 
     for key, start, length, ids, n, number, offset in pieces():
@@ -175,8 +183,9 @@ def rank_encoder(ranks: bytes, pattern: str, added: dict[str, int]) -> ChunkEnco
 def pack_documents(docs: DataFrame, ranks: bytes, pattern: str, added: dict[str, int], id_col: str = "doc_id", text_col: str = "text",
                    separator: int = 0, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, pool: int = POOL) -> DataFrame:
     """Tokenize whole texts, end each with the separator, and pack them as pack_tokens does, in the same pass. The
-    separator bears no loss. A null or empty text is the separator alone. ranks is broadcast; its size is that
-    of the vocabulary."""
+    separator bears no loss. A null or empty text is the separator alone. Rows with a null id, and each of several rows with one id, are packed
+    like others (their pieces bear the same id); other columns are not read; an empty table gives an empty result. ranks is
+    broadcast; its size is that of the vocabulary."""
     ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     kind, limits = _arrow(id_type), (max_tokens, max_segments, max_loss, pool)
@@ -195,3 +204,29 @@ def pack_documents(docs: DataFrame, ranks: bytes, pattern: str, added: dict[str,
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return chosen.mapInArrow(run, f"id {id_type.simpleString()}, {_SCHEMA}")
+
+
+def pack_examples(examples: DataFrame, ranks: bytes, pattern: str, added: dict[str, int], id_col: str = "id", parts_col: str = "parts", separator: int = 0,
+                  max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, pool: int = POOL) -> DataFrame:
+    """Pack instruction data: each row has its parts, structs (text, loss), whose texts are tokenized one by one; the ids of those
+    with loss bear it, and the separator at the end does not. Pieces come as from pack_documents. Null parts and texts are empty, a null
+    loss is false; rows with null ids, repeated rows and other columns are treated as there."""
+    ship(examples.sparkSession)
+    id_type = examples.schema[id_col].dataType
+    kind, limits = _arrow(id_type), (max_tokens, max_segments, max_loss, pool)
+    data, end = examples.sparkSession.sparkContext.broadcast(ranks), array("I", [separator]).tobytes()
+
+    def run(batches):
+        encoder = rank_encoder(data.value, pattern, added)
+
+        def documents():
+            for keys, rows in texts(batches, "id", "parts"):
+                for key, parts in zip(keys, rows):
+                    found = [(encoder.encode(p["text"]) if p["text"] else b"", bool(p["loss"])) for p in parts or [] if p]
+                    bears = [loss for ids, loss in found for _ in range(len(ids) // 4)] + [False]
+                    yield key, b"".join(ids for ids, _ in found) + end, list(accumulate(bears, initial=0))
+
+        return _packed(documents(), kind, limits)
+
+    chosen = examples.select(F.col(id_col).alias("id"), F.col(parts_col).alias("parts"))
+    return chosen.mapInArrow(run, f"id {id_type.simpleString()}, {_SCHEMA}")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .shared import WHITE, save
 
-#: Share of a host's documents, after shrinking, above which all of the host goes.
-HOST_LIMIT = 0.9
+#: A host goes whole if its shrunk rate of failing documents is further than this share of the way from the corpus' rate to 1.
+HOST_LIMIT = 0.5
 MIN_WORDS = 10
 WINDOW = 5
 REPEAT_PERCENT = 20
@@ -77,7 +77,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 
 def host_rates(measured: DataFrame, by: str = "failed") -> DataFrame:
-    """Rows (host, n, failed, rate, shrunk): each host's rate of failures (the column `by`) drawn towards the corpus by a beta prior.
+    """Rows (host, n, failed, rate, shrunk, corpus): each host's rate of failures (the column `by`) drawn towards that of the corpus by a beta prior.
 
     The prior is fitted by moments to the hosts' own rates, each weighted by its documents: mean m and variance v give a
     strength m(1-m)/v - 1, held between 1 and 1e6; without variance hosts count as alike (1e6). Documents without a host share
@@ -90,19 +90,20 @@ def host_rates(measured: DataFrame, by: str = "failed") -> DataFrame:
     prior = prior.selectExpr("m", "CASE WHEN q - m * m > 1e-12 THEN greatest(1.0D, least(1e6, m * (1 - m) / (q - m * m) - 1)) ELSE 1e6 END AS k")
     hosts = hosts.withColumn("prior", prior.select(F.struct("m", "k")).scalar())
     shrunk = (F.col("failed") + F.col("prior.m") * F.col("prior.k")) / (F.col("n") + F.col("prior.k"))
-    return hosts.select("host", "n", "failed", "rate", shrunk.alias("shrunk"))
+    return hosts.select("host", "n", "failed", "rate", shrunk.alias("shrunk"), F.col("prior.m").alias("corpus"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
           host_limit: float = HOST_LIMIT, by: str = "failed") -> DataFrame:
-    """measure() plus host_shrunk (double) and kept (boolean): a document goes if its own rules fail or its host's
-    shrunk failure rate is above host_limit. Null hosts are one host. The column `by` says which rules count, for the document
+    """measure() plus host_shrunk, host_limit (double) and kept (boolean): a document goes if its own rules fail or its host's
+    shrunk failure rate is above the limit, which lies a share host_limit of the way from the corpus' rate to 1. Null hosts are one host; repeated
+    rows count each, for the host too; an empty table gives an empty result. The column `by` says which rules count, for the document
     and for its host: all of them (failed), or the contract's alone (base_failed).
 
     The measures are saved once and read twice. Rates are aggregated before the shuffle, and the join back is
     on the host: a host with a third of all rows is a skewed join side that the adaptive planner splits.
     """
     m = save(measure(docs, id_col, text_col, host_col), "quality")
-    rates = host_rates(m, by).select(F.col("host").alias("rate_host"), F.col("shrunk").alias("host_shrunk"))
+    rates = host_rates(m, by).select(F.col("host").alias("rate_host"), F.col("shrunk").alias("host_shrunk"), (F.col("corpus") + host_limit * (1 - F.col("corpus"))).alias("host_limit"))
     out = m.join(rates, F.col("host").eqNullSafe(F.col("rate_host")), "left").drop("rate_host")
-    return out.withColumn("kept", ~F.col(by) & (F.coalesce("host_shrunk", F.lit(0.0)) <= host_limit))
+    return out.withColumn("kept", ~F.col(by) & F.coalesce(F.col("host_shrunk") <= F.col("host_limit"), F.lit(True)))

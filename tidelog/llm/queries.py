@@ -83,8 +83,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the SQL's kept knows the contract's rules alone; the pipeline goes by all of them
-    out = quality.judge(table(spark, sf_dir, "documents"), by="base_failed")
+    out = quality.judge(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -121,15 +120,17 @@ win2 AS (SELECT r, i, array_to_string(w[i:i+4], ' ') AS x FROM win),
 rep AS (SELECT r, i FROM win2 QUALIFY count(*) OVER (PARTITION BY r, x) > 1),
 cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest(range(5)) AS k) GROUP BY r),
 m AS (SELECT w.doc_id, w.source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
-  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN cov USING (r)),
-f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*) AS n, sum(CAST(base_failed AS INT)) AS failed, sum(CAST(base_failed AS INT)) / count(*) AS rate FROM f GROUP BY source),
+b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words AS base_failed FROM m),
+f AS (SELECT *, base_failed OR 100 * n_symbols > {quality.SYMBOL_PERCENT} * n_words OR 100 * n_dup_lines > {quality.DUP_LINE_PERCENT} * n_lines
+  OR word_chars < {quality.WORD_CHARS[0]} * n_words OR word_chars > {quality.WORD_CHARS[1]} * n_words AS bad FROM b),
+h AS (SELECT source, count(*) AS n, sum(CAST(bad AS INT)) AS failed, sum(CAST(bad AS INT)) / count(*) AS rate FROM f GROUP BY source),
 q AS (SELECT sum(failed) / sum(n) AS m, sum(n * rate * rate) / sum(n) AS q FROM h),
 p AS (SELECT m, CASE WHEN q - m * m > 1e-12 THEN greatest(1.0, least(1e6, m * (1 - m) / (q - m * m) - 1)) ELSE 1e6 END AS k FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND (failed + m * k) / (n + k) <= {quality.HOST_LIMIT} AS kept
+  NOT bad AND (failed + m * k) / (n + k) <= m + {quality.HOST_LIMIT} * (1 - m) AS kept
 FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, p""",
     "op4_jaccard": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WS}'), lambda x: x <> '') AS w FROM documents),

@@ -68,13 +68,14 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, to
 
 def meetings_of_tiles(rows: DataFrame, key: Column, own: Column, own_rows: Column, other_rows: Column, tile: int) -> DataFrame:
     """rows with (tile, i, j), one for each pair of tiles i <= j that a row takes part in, so that a task that compares two tiles holds
-    about 2 * tile rows, however many its group has.
+    at most 2 * tile rows, however many its group has (tiles are dealt by hash and filled so far that four deviations fit).
 
     A group's own rows meet all rows of the group, its other rows meet the own ones alone. own_rows and other_rows are the group's numbers of
     both, the same in all its rows. Own rows are dealt to the first tiles by the hash of key, others to those after.
     """
-    at = F.xxhash64(key)
-    rows = rows.withColumn("_h", F.ceil(own_rows / tile).cast("int")).withColumn("_v", F.ceil(other_rows / tile).cast("int")).where("_h > 0")
+    at, mean = F.xxhash64(key), max(tile / 2, tile - 4 * tile**0.5)
+    tiles = lambda n: F.when(n <= tile, F.signum(n)).otherwise(F.ceil(n / mean)).cast("int")
+    rows = rows.withColumn("_h", tiles(own_rows)).withColumn("_v", tiles(other_rows)).where("_h > 0")
     place = F.when(own, F.pmod(at, F.col("_h"))).otherwise(F.col("_h") + F.pmod(at, F.greatest("_v", F.lit(1)))).cast("int")
     partners = F.sequence(F.lit(0), F.when(own, F.col("_h") + F.col("_v") - 1).otherwise(F.col("_h") - 1))
     rows = rows.withColumn("tile", place).withColumn("_p", F.explode(partners))

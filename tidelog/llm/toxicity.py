@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from .batches import map_texts, texts
 from .shared import held_out, sampled, save, ship
 
-#: Bounds: labelled rows that are fitted on, terms of the lexicon, words a worker remembers.
+#: Bounds: labelled rows that are fitted on, and with them the terms of the lexicon; words a worker remembers.
 FIT_ROWS = 30_000
-MAX_TERMS = 2_000
 MEMORY = 500_000
 #: Longest word that is remembered.
 MEMORY_LENGTH = 64
@@ -187,7 +186,7 @@ def choose_terms(rows: list[tuple[str, bool, int, int]], rate: float) -> tuple[l
         if not term.startswith(tuple(stems)):
             stems.append(term)
     words = sorted((-t, term) for term, stem, t in good if not stem and not term.startswith(tuple(stems)))
-    return [term for _, term in words[:MAX_TERMS]], stems[:MAX_TERMS]
+    return [term for _, term in words], stems
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
@@ -268,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows (id, score, predicted): score between 0 and 1 for each row of docs, predicted 1 from threshold on. Null and empty texts, and
     texts without a hit, get the share of toxic texts among such texts. Repeated rows stay; other columns are not
-    read. The model (bounded by MAX_TERMS) is broadcast, and nothing is shuffled."""
+    read. The model (bounded by the rows it is fitted on) is broadcast, and nothing is shuffled."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     data = docs.sparkSession.sparkContext.broadcast(model)
