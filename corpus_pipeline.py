@@ -6,11 +6,13 @@ fits a model fits it on the documents it is given. run() writes each stage's row
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import jaccard, language, quality, queries
-from tidelog.llm.shared import save
+from tidelog.llm.shared import save, save_result
 
 #: Share of a text's most likely language below which the text is no document of any language.
 MIN_LANGUAGE_SHARE = 0.3
@@ -35,13 +37,13 @@ def _keep(keyed: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, their own and their host's."""
+    """Documents that the quality rules keep, their own and their host's. Rows with a null text go; rows with a null id or host are judged like others."""
     keyed = _with_keys(docs)
     return _keep(keyed, quality.judge(keyed, id_col=KEY).where("kept")).select(docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows."""
+    """Documents in a language that the model knows. Rows with a null or empty text go; without labelled rows nothing is known and all go."""
     keyed = _with_keys(docs)
     found = language.identify(keyed, language.fit(docs), id_col=KEY)
     found = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SHARE) & (F.col("gain") > MIN_LANGUAGE_GAIN))
@@ -62,7 +64,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 1024 tokens."""
+    """Pieces of all documents in sequences of at most 1024 tokens, each row's own; null texts are a separator alone."""
     return queries.pack(docs).withColumnRenamed("id", "doc_id")
 
 
@@ -75,8 +77,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = save(docs, f"stage_{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = save_result(partial(stage, spark, docs, sf_dir), spark, f"stage_{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -36,7 +36,8 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
 
     Turns are ordered by turn (nulls first), then role and text; every row is a turn, repeated rows too. Null roles
     and texts are empty; rows with a null conversation form one. An empty table gives no rows. Other columns are
-    not read. Rows of a conversation are collected with partial aggregation: the result has one row for each.
+    not read. Rows of a conversation are collected with partial aggregation: the result has one row for each,
+    so that a conversation is as large as one value may be (2 GB, and a task's memory).
     """
     r = rows.select(F.col(conv_col).alias("conv_id"), F.struct(
         F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"),
@@ -60,7 +61,10 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
 
 
 def parse_chats(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """Read formatted back, from the string alone: conv_id, formatted, turns (array of role and text), loss_text."""
+    """Read formatted back, from the string alone: conv_id, formatted, turns (array of role and text), loss_text.
+
+    A null string gives null turns and loss_text, an empty one no turns and an empty loss_text; repeated rows stay and other columns are not
+    read. An empty table gives an empty result."""
     blocks = F.filter(F.split("formatted", _literal(END), -1), lambda b: b != "")
     p = formatted.select("conv_id", "formatted", blocks.alias("b"))
     turns = F.flatten(F.transform("b", lambda b: F.transform(

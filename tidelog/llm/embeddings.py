@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, join_groups, meetings_of_tiles, save, ship
+from .shared import connected_components, drop, join_groups, meetings_of_tiles, save, ship
 
 MIN_COSINE = 0.93
 #: Low-dimensional blocks that the rotated vectors are split into.
@@ -233,6 +233,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     t = t.join(classes.select("h1", "h2", "node", "copies", "vec", "rot"), ["h1", "h2"])
     found = t.groupBy(*cell, "i", "j").applyInPandas(lambda part: compare_tiles(part, min_cosine), "h1 long, h2 long, node long, links long, least long")
     found = save(found, "vector_links")
+    drop(places, counts)
     links = found.groupBy("h1", "h2").agg(F.sum("links").alias("links"))
     # an id with several vectors joins their classes
     named = save(join_groups(able.select("id", "h1", "h2"), classes.select("h1", "h2", "node", "copies"), ["h1", "h2"], "copies"), "vector_ids")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import texts
-from .shared import connected_components, join_groups, meetings_of_tiles, save, ship
+from .shared import connected_components, drop, join_groups, meetings_of_tiles, save, ship
 
 N = 5
 PERCENT = 80
@@ -371,6 +371,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # equal sets are one class, its smallest id stands for it
     classes = save(with_set.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     named = save(join_groups(with_set.select("id", "n", "f1", "f2"), classes, ["n", "f1", "f2"], "copies").select("id", "n", "rep"), "named")
+    empty = save(sketch.where("n = 0 OR id IS NULL").select("id", F.col("n").alias("n_shingles")), "empty")
     reps = named.where("id = rep").select("id", "n").distinct()
 
     # rounds of min-hash: trees of a key
@@ -381,12 +382,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = members.withColumn("block", F.pmod(F.xxhash64("id", "round"), F.ceil(F.col("rows") / BLOCK)).cast("int"))
     blocks = members.select("round", "key", "block", "id").join(docs, "id")
     edges = save(_verified_edges(blocks, n, sizes), "edges")
+    drop(keys, shared)
     joined = connected_components(edges)
 
     # what no signature may miss: those that meet several components
     lab = save(reps.join(joined, reps["id"] == joined["node"], "left").select("id", "n", F.coalesce("component", "id").alias("comp")), "labelled")
     sigs = with_set.select("id", "n", "sigs").join(lab, ["id", "n"]).select("id", "comp", F.explode("sigs").alias("sig"))
-    members = save(_meetings(sigs), "members")
+    members = members_met = save(_meetings(sigs), "members")
     # a document has as many signatures as its length gives
     wide = members.where(F.col("rows") > WIDE).groupBy("id").agg(F.collect_set("sig").alias("wide"))
     large = members.where(F.col("rows") > TILE)
@@ -399,7 +401,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     points_of = with_set.select("id", "n", "counts").join(wide, "id", "left")
     tiles = tiles.join(points_of, "id").withColumn("wide", F.when(F.col("is_wide"), F.col("wide")))
     pairs = save(_candidates(tiles, sizes), "pairs")
+    drop(sketch, members_met, most, lab)
     more = save(_verified_pairs(pairs, docs, n, sizes), "more")
+    drop(pairs)
 
     # an id with several sets joins their classes; copies are no nodes
     several = named.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last"), F.count("*").alias("rows")).where("a <> last")
@@ -407,9 +411,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     components = connected_components(edges.union(more).union(several))
     found = classes.groupBy("rep").agg(F.sum("copies").alias("copies")).join(components, F.col("rep") == F.col("node"), "left")
     found = save(found.select("rep", "copies", F.coalesce("component", "rep").alias("component_id")), "components")
+    drop(edges, more, classes)
     out = join_groups(named, found, ["rep"], "copies").select("id", F.col("n").alias("n_shingles"), "component_id")
     # rows without words belong to the component of the other rows with their id
-    empty = sketch.where("n = 0 OR id IS NULL").select("id", F.col("n").alias("n_shingles"))
     others = out.select(F.col("id").alias("other"), "component_id").distinct()
     empty = empty.join(others, empty["id"] == others["other"], "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.unionByName(empty)

@@ -93,7 +93,7 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Model:
     """A model from about fit_rows rows (a documented bound) with text, a language and an id that is not held out.
 
-    Rows are taken by a hash of their id, all where there are fewer. Counts are summed by language and bin before they are
+    Rows are taken by a hash of their id, all where there are fewer; repeated rows count each, and an empty text has nothing to count. Counts are summed by language and bin before they are
     collected: languages times BINS numbers. Without rows the model knows no language and answers und.
     """
     ship(docs.sparkSession)

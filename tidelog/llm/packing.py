@@ -149,7 +149,7 @@ def _packed(documents: Iterable[tuple], id_type: pa.DataType, limits: tuple) ->
 def pack_tokens(encoded: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, pool: int = POOL) -> DataFrame:
     """Pack rows (id, ids binary, loss_stop int: ids before it bear loss; null: all) into pieces (id, start, length, ids, doc_tokens,
     sequence_id, offset). Every id lies in exactly one piece. Rows without ids give no piece; repeated rows are packed
-    each; null ids of rows are kept. Each partition is packed by itself in one pass, so nothing is shuffled and no key
+    each, under the same id; null ids of rows are kept, other columns are not read, an empty table gives no pieces. Each partition is packed by itself in one pass, so nothing is shuffled and no key
     can be hot; memory holds the pool and one batch.
     """
     ship(encoded.sparkSession)

@@ -9,9 +9,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.shared import release, save, shared_dir
+from ..plans.shared import drop, release, save, save_result, shared_dir
 
-__all__ = ["connected_components", "held_out", "join_groups", "lower_ascii", "meetings_of_tiles", "release", "sampled", "save", "shared_dir", "ship"]
+__all__ = ["connected_components", "drop", "held_out", "join_groups", "lower_ascii", "meetings_of_tiles", "release", "sampled", "save", "save_result", "shared_dir", "ship"]
 
 _SHIPPED: set[str] = set()
 
@@ -99,7 +99,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = save(large.distinct(), "cc")
         moved = _with_least(large, "v <> m", mark[0]).selectExpr("greatest(v, m) AS u", "least(v, m) AS v")
         small = moved.union(large.groupBy("u").agg(F.min("v").alias("v")))
-        e = save(small.distinct(), "cc")
+        last, e = e, save(small.distinct(), "cc")
+        drop(last, large)
         now = _mark(e)
         if now == mark:
             break
