@@ -85,9 +85,9 @@ def cells_of(x: np.ndarray, cuts: np.ndarray, most: float) -> tuple[np.ndarray,
     return home, *np.nonzero(far <= most)
 
 
-def _placed(tile: int, min_cosine: float):
-    """Rows (h1, h2, block, cell, own): where a vector is at home in each block, and the cells of higher number that it can reach there.
-    A pair of two cells meets in the higher one."""
+def _placed(tile: int, min_cosine: float, counted: bool = False):
+    """Rows (h1, h2, label, dim, block, cell, own): where a vector is at home in each block, and the cells of higher number that it can reach there.
+    A pair of two cells meets in the higher one. With counted, a row (label, dim, block, cell, own_rows, other_rows) for each cell of a batch."""
 
     def run(batches):
         for batch in batches:
@@ -110,9 +110,18 @@ def _placed(tile: int, min_cosine: float):
                         block.append(np.full(len(members) + len(who), b))
                         cell += [home, where]
                         own += [np.ones(len(members), bool), np.zeros(len(who), bool)]
-            at = np.concatenate(at)
+            at, block, cell, own = (np.concatenate(x) for x in (at, block, cell, own))
+            if counted:
+                which = [batch.column("label").dictionary_encode(), batch.column("dim")]
+                which = np.array([which[0].indices.to_numpy(zero_copy_only=False)[at], dims[at], block, cell], np.int64)
+                which, back, n = np.unique(which, axis=1, return_inverse=True, return_counts=True)
+                mine = np.bincount(back.ravel(), weights=own, minlength=len(n)).astype(np.int64)
+                labels = batch.column("label").dictionary_encode().dictionary.take(pa.array(which[0]))
+                columns = [labels, *(pa.array(x.astype(np.int32)) for x in which[1:]), pa.array(mine), pa.array(n.astype(np.int64) - mine)]
+                yield pa.RecordBatch.from_arrays(columns, names=["label", "dim", "block", "cell", "own_rows", "other_rows"])
+                continue
             part = batch.select(["h1", "h2", "label", "dim"]).take(pa.array(at))
-            more = [pa.array(np.concatenate(block).astype(np.int32)), pa.array(np.concatenate(cell).astype(np.int32)), pa.array(np.concatenate(own))]
+            more = [pa.array(block.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(own)]
             yield pa.RecordBatch.from_arrays([*part.columns, *more], names=["h1", "h2", "label", "dim", "block", "cell", "own"])
 
     return run
@@ -213,21 +222,20 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     cuts = save(cuts.join(large, on), "cuts")
     cell = [*on, "block", "cell"]
 
-    def placed(grid):
+    def placed(grid, counted=False):
         places = join_groups(classes.select("h1", "h2", *on, "lead"), grid, on, "rows")
-        return places.mapInArrow(_placed(tile, min_cosine), f"h1 long, h2 long, label {kind}, dim int, block int, cell int, own boolean")
-
-    def counted(places):
-        owners = F.sum(F.col("own").cast("long"))
-        return places.groupBy(*cell).agg(owners.alias("own_rows"), (F.count("*") - owners).alias("other_rows"), F.count("*").alias("rows"))
+        out = "own_rows long, other_rows long" if counted else "own boolean"
+        return places.mapInArrow(_placed(tile, min_cosine, counted), ("" if counted else "h1 long, h2 long, ") + f"label {kind}, dim int, block int, cell int, {out}")
 
     # cells only save work where few of them are near a vector, which their numbers of vectors tell
     met = F.expr("own_rows * (own_rows - 1D) / 2 + own_rows * 1D * other_rows")
-    work = save(counted(placed(cuts)).groupBy(*on).agg(F.sum(met).alias("met")), "work").join(large, on)
+    work = placed(cuts, counted=True).groupBy(*cell).agg(F.sum("own_rows").alias("own_rows"), F.sum("other_rows").alias("other_rows"))
+    work = save(work.groupBy(*on).agg(F.sum(met).alias("met")), "work").join(large, on)
     cut = work.where(f"met <= {cut_share}D * rows * (rows - 1D) / 2")
     grid = save(sizes.join(cuts.drop("rows").join(cut.select(*on), on, "left_semi"), on, "left"), "grid")
     places = save(placed(grid), "places")
-    counts = save(counted(places), "cells")
+    owners = F.sum(F.col("own").cast("long"))
+    counts = save(places.groupBy(*cell).agg(owners.alias("own_rows"), (F.count("*") - owners).alias("other_rows"), F.count("*").alias("rows")), "cells")
     t = join_groups(places, counts, cell, "rows")
     t = meetings_of_tiles(t, F.struct("h1", "h2"), F.col("own"), F.col("own_rows"), F.col("other_rows"), tile)
     t = t.join(classes.select("h1", "h2", "node", "copies", "vec", "rot"), ["h1", "h2"])
