@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def test_queries_equal_sql(spark, name):
     out = queries.QUERIES[name](spark, SF)
     want = con.execute(queries.ORACLES[name])
     names = [d[0] for d in want.description]
-    plain = lambda x: x if x is None or isinstance(x, (str, bool)) else round(float(x), 4)
+    plain = lambda x: x if x is None or isinstance(x, (str, bool)) else str(x) if isinstance(x, datetime) else round(float(x), 4)
     rows = lambda rs, at: sorted(repr([plain(r[k]) for k in at]) for r in rs)
     assert sorted(out.columns) == sorted(names)
     assert rows(out.collect(), sorted(names)) == rows(want.fetchall(), [names.index(c) for c in sorted(names)])
@@ -75,6 +77,40 @@ def test_deep_dependency_chains(spark):
     assert got == {f"n{k}": k for k in range(67)} | {"c": None, None: None}
 
 
+def test_copies_of_one_row_are_counted_not_sorted(spark, monkeypatch):
+    monkeypatch.setattr(manifest, "SEGMENT", 7)
+    df = spark.createDataFrame([("a",)] * 40 + [("b",)] + [("c",)] * 9, "s string")
+    light, full = (manifest.placed(df, None, 6, 12, full=f) for f in (False, True))
+    assert light.columns == ["row_hash", "chunk_no", "pos", "batch_no"] and sorted(full.select("s").collect()) == sorted(df.collect())
+    want = sorted(r.row_hash for r in canonical.with_hash(df).collect())
+    for rows in (light, full):
+        got = sorted((r.chunk_no * 6 + r.pos, r.row_hash) for r in rows.collect())
+        assert [h for _, h in got] == want and [k for k, _ in got] == list(range(50))
+    assert manifest.chunk_manifest(light).count() == 9
+
+
+def test_set_differences_keep_multiplicities(spark):
+    a = spark.createDataFrame([(1, None), (1, None), (1, None), (2, "x")], "k int, s string")
+    b = spark.createDataFrame([(1, None), (2, "x"), (2, "x"), (3, None)], "k int, s string")
+    got = sorted((r.k, r.s, r.side) for r in diff.set_difference(a, b).collect())
+    assert got == [(1, None, "removed"), (1, None, "removed"), (2, "x", "added"), (3, None, "added")]
+
+
+def test_null_keys_equal_each_other(spark):
+    a = spark.createDataFrame([(None, 1), (2, 2)], "k int, v int")
+    b = spark.createDataFrame([(None, 5), (2, 2)], "k int, v int")
+    assert [(r.k, r.op) for r in diff.diff_keyed(a, b, ["k"]).collect()] == [(None, "U")]
+    assert sorted(map(repr, diff.apply_changes(a, diff.changes(a, b, ["k"]), ["k"]).collect())) == sorted(map(repr, b.collect()))
+
+
+def test_key_types(spark):
+    types = {"a": "varchar(16)", "b": "timestamp(6) without time zone", "c": "json", "d": "TIMESTAMP", "e": "inet"}
+    assert objects.comparable_key(types, ["a", "b", "d", "e"]) and not objects.comparable_key(types, ["a", "c"]) and not objects.comparable_key(types, [])
+    columns = spark.createDataFrame([("t", n, k) for n, k in types.items()], "table_name string, name string, type string")
+    keys = spark.createDataFrame([("t", "pk", "PRIMARY KEY", k, c, None) for k, c in enumerate("abde")], "table_name string, name string, type string, ordinal int, column_name string, definition string")
+    assert objects.primary_key(columns, keys).first().columns == "a,b,d,e"
+
+
 def test_checks_with_nulls(spark):
     df = spark.createDataFrame([(1, 1), (1, 1), (None, 2), (None, 2)], "a int, b int")
     assert validate.key_violations(df, ["a"]).count() == 1 and validate.key_violations(df, ["a"], primary=True).count() == 2

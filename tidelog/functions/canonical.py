@@ -13,12 +13,20 @@ from pyspark.sql import types as T
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
+def utc(c: Column) -> Column:
+    """A point in time as the clock of UTC shows it, whatever the session's zone."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def value_text(c: Column, kind: T.DataType) -> Column:
-    """Text of a value that is not null; integers of all widths look alike, -0.0 is 0.0, times keep microseconds."""
+    """Text of a value that is not null; integers of all widths look alike, -0.0 is 0.0, times keep microseconds, those with a zone are
+    told in UTC."""
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return (c.cast("double") + F.lit(0.0)).cast("string")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(kind, T.TimestampNTZType):
         return F.date_format(c, TIME_FORMAT)
+    if isinstance(kind, T.TimestampType):
+        return F.date_format(utc(c), TIME_FORMAT)
     if isinstance(kind, T.BinaryType):
         return F.lower(F.hex(c))
     if isinstance(kind, T.ArrayType):

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .canonical import TIME_FORMAT
+from .canonical import TIME_FORMAT, utc
 
 DIFF_PREFIX = "diffs/"
 UUID_PATTERN = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
@@ -24,7 +24,7 @@ def quote_name(name: Column) -> Column:
 
 
 def literal(c: Column, kind: T.DataType) -> Column:
-    """A value as SQL text: NULL, number, or quoted text with doubled quotes; times with microseconds, bytes in hex."""
+    """A value as SQL text: NULL, number, or quoted text with doubled quotes; times with microseconds, in UTC if they have a zone, bytes in hex."""
     quoted = lambda x: F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("''")), F.lit("'"))
     if isinstance(kind, (T.IntegralType, T.DecimalType, T.BooleanType)):
         text = c.cast("string")
@@ -32,8 +32,10 @@ def literal(c: Column, kind: T.DataType) -> Column:
         text = F.when(F.isnan(c) | (F.abs(c) == float("inf")), quoted(c.cast("string"))).otherwise(c.cast("string"))
     elif isinstance(kind, T.BinaryType):
         text = F.concat(F.lit("'\\x"), F.lower(F.hex(c)), F.lit("'"))
-    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+    elif isinstance(kind, T.TimestampNTZType):
         text = quoted(F.date_format(c, TIME_FORMAT))
+    elif isinstance(kind, T.TimestampType):
+        text = quoted(F.concat(F.date_format(utc(c), TIME_FORMAT), F.lit("+00")))
     else:
         text = quoted(c.cast("string"))
     return F.when(c.isNull(), F.lit("NULL")).otherwise(text)
@@ -90,3 +92,16 @@ def add_foreign_key(table: str, fk: dict) -> str:
     names = lambda cs: ", ".join(map(q, cs))
     return (f"ALTER TABLE {'.'.join(map(q, table.split('.', 1)))} ADD CONSTRAINT {q(fk['name'])} FOREIGN KEY ({names(fk['columns'])}) REFERENCES "
             f"{'.'.join(map(q, fk['referenced_table'].split('.', 1)))} ({names(fk['referenced_columns'])}) ON UPDATE {fk.get('update_action', 'NO ACTION')} ON DELETE {fk.get('delete_action', 'NO ACTION')}")
+
+
+def parse_integer(text: Column) -> Column:
+    """An integer of up to 38 digits; null if the text is none."""
+    return F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(text).try_cast("decimal(38,0)"))
+
+
+def driver_value(value: Column, kind: Column) -> Column:
+    """Struct (bytes, number, text) of what a driver hands over as bytes, by the column's declared type: bytea stays bytes, inexact and
+    decimal types are numbers, all others text. Two fields are null."""
+    base = F.regexp_replace(F.lower(kind), r"\s*\([^)]*\)", "")
+    number, as_text = base.isin("numeric", "decimal", "real", "double precision", "float"), F.decode(value, "UTF-8")
+    return F.struct(F.when(base == "bytea", value).alias("bytes"), F.when(number, as_text.try_cast("double")).alias("number"), F.when(~number & (base != "bytea"), as_text).alias("text"))

@@ -7,20 +7,36 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import with_hash
+from ..functions.canonical import row_hash
+from ..plans.shared import unused
 
 
 def _op(old: Column, new: Column) -> Column:
     return F.when(old.isNull(), "I").when(new.isNull(), "D").when(old != new, "U")
 
 
+def _refuse(names: list[str], own: set[str]) -> None:
+    clash = {n for n in names if n.lower() in own}
+    if clash:
+        raise ValueError(f"columns named like those of a difference: {sorted(clash)}")
+
+
+def _named(df: DataFrame, keys: list[str], side: str) -> list[Column]:
+    return [F.col(f"`{k}`").alias(f"{side}{n}") for n, k in enumerate(keys)]
+
+
 def diff_keyed(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (keys, op, old_hash, new_hash) of inserts, updates and deletes. Columns are compared by name, so a column that one
-    side lacks makes every row an update. One shuffle of each side on the keys, which carry hashes only."""
-    a = with_hash(old).select(*keys, F.col("row_hash").alias("old_hash"))
-    b = with_hash(new).select(*keys, F.col("row_hash").alias("new_hash"))
-    both = a.join(b, keys, "full_outer")
-    return both.withColumn("op", _op(F.col("old_hash"), F.col("new_hash"))).where("op IS NOT NULL").select(*keys, "op", "old_hash", "new_hash")
+    side lacks makes every row an update. Null keys equal each other. Keys named op, old_hash or new_hash are refused; other columns may have any
+    name. One shuffle of each side on the keys, which carry hashes only."""
+    _refuse(keys, {"op", "old_hash", "new_hash"})
+    a = old.select(*_named(old, keys, "a"), row_hash(old.schema).alias("old_hash"))
+    b = new.select(*_named(new, keys, "b"), row_hash(new.schema).alias("new_hash"))
+    same = reduce(lambda x, y: x & y, (F.col(f"a{n}").eqNullSafe(F.col(f"b{n}")) for n in range(len(keys))))
+    # an inserted row's key is the new side's, all others' the old side's
+    key = [F.when(F.col("old_hash").isNull(), F.col(f"b{n}")).otherwise(F.col(f"a{n}")).alias(k) for n, k in enumerate(keys)]
+    both = a.join(b, same, "full_outer").withColumn("op", _op(F.col("old_hash"), F.col("new_hash"))).where("op IS NOT NULL")
+    return both.select(*key, "op", "old_hash", "new_hash")
 
 
 def diff_positional(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -35,21 +51,29 @@ def diff_positional(old: DataFrame, new: DataFrame) -> DataFrame:
 def diff_keyless(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows (row_hash, op, n) of a multiset difference: one signed count per row content, aggregated before the shuffle, so that
     any number of equal rows is one row there."""
-    a = with_hash(old).select("row_hash", F.lit(-1).alias("d"))
-    b = with_hash(new).select("row_hash", F.lit(1).alias("d"))
+    a = old.select(row_hash(old.schema).alias("row_hash"), F.lit(-1).alias("d"))
+    b = new.select(row_hash(new.schema).alias("row_hash"), F.lit(1).alias("d"))
     net = a.union(b).groupBy("row_hash").agg(F.sum("d").alias("d")).where("d <> 0")
     return net.select("row_hash", F.when(F.col("d") > 0, "I").otherwise("D").alias("op"), F.abs("d").alias("n"))
 
 
 def changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """A keyed difference that can be applied: keys, op and the new rows' other columns (null for deletes)."""
+    """A keyed difference that can be applied: keys, op and the new rows' other columns (null for deletes). Tables with a column op are refused."""
+    _refuse(new.columns, {"op"})
     found = diff_keyed(old, new, keys).select(*keys, "op")
-    return found.join(new, keys, "left").select(*keys, "op", *(c for c in new.columns if c not in keys))
+    rest = [c for c in new.columns if c not in keys]
+    there = new.select(*_named(new, keys, "b"), *(F.col(f"`{c}`") for c in rest))
+    joined = found.join(there, _same(found, keys), "left")
+    return joined.select(*(F.col(f"`{k}`") for k in keys), "op", *(F.col(f"`{c}`") for c in rest))
+
+
+def _same(df: DataFrame, keys: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, (df[f"`{k}`"].eqNullSafe(F.col(f"b{n}")) for n, k in enumerate(keys)))
 
 
 def apply_changes(base: DataFrame, diff: DataFrame, keys: list[str]) -> DataFrame:
-    """base with the changes made: rows whose key is in diff go, and those of diff that are no deletes come."""
-    kept = base.join(diff.select(*keys), keys, "left_anti")
+    """base with the changes made: rows whose key is in diff go, and those of diff that are no deletes come. Null keys equal each other."""
+    kept = base.join(diff.select(*_named(diff, keys, "b")), _same(base, keys), "left_anti")
     return kept.unionByName(diff.where("op <> 'D'").drop("op"), allowMissingColumns=True)
 
 
@@ -93,9 +117,28 @@ def pruned_diff(old: DataFrame, new: DataFrame, chunk_changes: DataFrame) -> Dat
     return diff_positional(old.join(touched, at, "left_semi"), new.join(touched, at, "left_semi"))
 
 
+def apply_positional(base: DataFrame, diff: DataFrame, new: DataFrame) -> DataFrame:
+    """Placed rows of base with a positional difference made: places that diff deletes or updates go, and for those it updates or inserts the rows
+    of new with that place and hash come. base and new: placed rows with the same columns."""
+    at = ["batch_no", "chunk_no", "pos"]
+    kept = base.join(diff.where("op <> 'I'").select(*at), at, "left_anti")
+    come = diff.where("op <> 'D'").select(*at, F.col("new_hash").alias("row_hash"))
+    return kept.unionByName(new.join(come, [*at, "row_hash"], "left_semi").select(kept.columns))
+
+
+def stale_places(base: DataFrame, diff: DataFrame) -> DataFrame:
+    """Places that diff updates or deletes where base has no row or another one than diff says: none, unless diff belongs to another version."""
+    at = ["batch_no", "chunk_no", "pos"]
+    have = base.select(*at, F.col("row_hash").alias("have"))
+    both = diff.where("op <> 'I'").select(*at, "old_hash").join(have, at, "left")
+    return both.where(~F.col("old_hash").eqNullSafe(F.col("have"))).select(*at, "old_hash", F.col("have").alias("found_hash"))
+
+
 def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of a that b lacks and the reverse, duplicates kept, nulls equal: side is removed or added."""
-    on = reduce(lambda x, y: x & y, (F.col(f"x.`{c}`").eqNullSafe(F.col(f"y.`{c}`")) for c in a.columns))
-    gone = a.alias("x").join(b.alias("y"), on, "left_anti").withColumn("side", F.lit("removed"))
-    come = b.alias("x").join(a.alias("y"), on, "left_anti").withColumn("side", F.lit("added"))
-    return gone.unionByName(come)
+    """Rows of a that b lacks and the reverse, as often as one side has them more often; nulls are equal. side is removed or added."""
+    columns = [F.col(f"`{c}`") for c in a.columns]
+    n, side = unused(a, "_n", "side")
+    both = a.select(*columns, F.lit(-1).alias(n)).unionByName(b.select(*columns, F.lit(1).alias(n)))
+    net = both.groupBy(*columns).agg(F.sum(n).alias(n)).where(F.col(n) != 0)
+    net = net.withColumn(side, F.when(F.col(n) < 0, "removed").otherwise("added"))
+    return net.withColumn(n, F.explode(F.array_repeat(F.lit(0), F.abs(n).cast("int")))).drop(n)

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import save
+
 #: Order in which a restore makes objects.
 PHASES = {"sequence": 1, "table": 2, "rows": 3, "foreign key": 4, "index": 4, "routine": 5}
-#: Column types whose order pages can follow, without length or precision.
-COMPARABLE = ["smallint", "integer", "bigint", "real", "double precision", "numeric", "decimal", "char", "character", "varchar", "character varying", "text", "uuid", "date", "timestamp", "boolean"]
+#: Column types whose order pages can follow, without length or precision: fixed values.
+COMPARABLE = ["smallint", "integer", "bigint", "decimal", "numeric", "real", "double precision", "character", "character varying", "text", "uuid", "date",
+              "timestamp without time zone", "timestamp with time zone", "time without time zone", "time with time zone", "inet", "cidr"]
+#: Other names of these types.
+ALIASES = {"int": "integer", "varchar": "character varying", "char": "character", "timestamp": "timestamp without time zone", "time": "time without time zone"}
 
 
 def columns_of(df: DataFrame, table: str) -> DataFrame:
@@ -46,7 +53,8 @@ def fold_indexes(rows: DataFrame, constraints: DataFrame) -> DataFrame:
 
 def primary_key(columns: DataFrame, constraints: DataFrame) -> DataFrame:
     """Tables and key columns of primary keys that pages can follow: all their types are comparable."""
-    base = F.regexp_replace("type", r"\(.*\)$", "")
+    base = F.trim(F.regexp_replace(F.lower("type"), r"\s*\([^)]*\)", ""))
+    base = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in ALIASES.items() for x in kv)), base), base)
     keys = constraints.where("type = 'PRIMARY KEY'").select("table_name", "name", "ordinal", F.col("column_name"))
     types = columns.select("table_name", F.col("name").alias("column_name"), base.isin(COMPARABLE).alias("ok"))
     each = keys.join(types, ["table_name", "column_name"], "left")
@@ -54,6 +62,12 @@ def primary_key(columns: DataFrame, constraints: DataFrame) -> DataFrame:
     return folded.where("ok").drop("ok")
 
 
+def comparable_key(types: dict[str, str], key: list[str]) -> bool:
+    """Whether pages can follow a key, by the types of a table's columns."""
+    base = lambda t: re.sub(r"\s*\([^)]*\)", "", t.lower()).strip()
+    return bool(key) and all(c in types and ALIASES.get(base(types[c]), base(types[c])) in COMPARABLE for c in key)
+
+
 def merge_definitions(base: DataFrame, removed: DataFrame, added: DataFrame, order: list[str]) -> DataFrame:
     """A definition with the removed entries taken out and the added ones put in."""
     on = [base[c].eqNullSafe(removed[c]) for c in base.columns]
@@ -90,22 +104,21 @@ def object_status(last: DataFrame, now: DataFrame) -> DataFrame:
 def dependency_levels(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows (name, level): 0 without dependencies, else one above the highest; nodes in or behind a cycle, or that need a missing one, have a null
     level. edges: (name, needs). Each round settles what needs only settled nodes, so a diamond is walked once; rounds
-    end when one settles nothing. Nodes without a name have a null level."""
+    end when one settles nothing. Nodes without a name have a null level. What a round settles is saved; edges to settled nodes
+    are no longer looked at."""
     nodes, edges = nodes.select("name").distinct(), edges.select("name", "needs").distinct()
-    named = nodes.where("name IS NOT NULL")
-    settled = named.join(edges, "name", "left_anti").withColumn("level", F.lit(0))
-    n = settled.count()
-    for level in count(1):
-        waiting = named.join(settled, "name", "left_anti")
-        blocked = edges.join(settled.select(F.col("name").alias("needs")), "needs", "left_anti").select("name").distinct()
-        more = waiting.join(blocked, "name", "left_anti").withColumn("level", F.lit(level))
-        settled = settled.union(more)
-        # a catalog's graph is small; its rounds are few
-        rows = settled.collect()
-        settled = spark.createDataFrame(rows, "name string, level int")
-        if len(rows) == n:
+    waiting = save(nodes.where("name IS NOT NULL"), "waiting")
+    open_edges, done = save(edges, "edges"), []
+    for level in count():
+        ready = save(waiting.join(open_edges, "name", "left_anti"), "ready")
+        if ready.isEmpty():
+            break
+        done.append(ready.withColumn("level", F.lit(level)))
+        waiting = save(waiting.join(ready, "name", "left_anti"), "waiting")
+        if waiting.isEmpty():
             break
-        n = len(rows)
+        open_edges = save(open_edges.join(ready.select(F.col("name").alias("needs")), "needs", "left_anti").select("name", "needs"), "edges")
+    settled = reduce(DataFrame.union, done) if done else spark.createDataFrame([], "name string, level int")
     return nodes.join(settled, "name", "left")
 
 

@@ -20,3 +20,9 @@ def keyset_page(df: DataFrame, keys: list[str], size: int, after: tuple | None =
 def offset_page(df: DataFrame, size: int, offset: int, order: list[str] | None = None) -> DataFrame:
     """Rows by place; without an order all columns give one."""
     return df.orderBy(*(order or df.columns)).offset(offset).limit(size)
+
+
+def next_cursor(page: DataFrame, keys: list[str]) -> DataFrame:
+    """One row with the last key of a page, after which the next page starts; none for an empty page."""
+    last = page.agg(F.max(F.struct(*keys)).alias("last")).where("last IS NOT NULL")
+    return last.select("last.*")

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.canonical import row_size, with_hash
-from .shared import save
+from .shared import save, unused
 
 #: Planner's limits, fixed values: bytes of a wide row, rows of a batch, bytes of a batch of narrow and of wide rows, chunks of each.
 WIDE_ROW = 5 << 20
 BATCH_ROWS = 100_000
 NARROW_BATCH, NARROW_CHUNKS = 20 << 20, 100
 WIDE_BATCH, WIDE_CHUNKS = 1 << 30, 10
+#: Columns that place a row.
+PLACES = ["row_hash", "batch_no", "chunk_no", "pos"]
+#: Copies of one row that one task writes out.
+SEGMENT = 1 << 16
 
 
 def table_stats(df: DataFrame) -> DataFrame:
@@ -28,46 +35,95 @@ def batch_plan(stats: DataFrame) -> DataFrame:
     return stats.withColumn("batch_size", F.greatest(batch, F.lit(1)).cast("long")).withColumn("chunk_size", F.greatest(chunk, F.lit(1)).cast("long"))
 
 
-def numbered(df: DataFrame, order: list, name: str = "rn") -> DataFrame:
-    """Rows numbered from 0 in global order, without a window over the whole table.
+def _running(weight: str):
+    """Adds to each row of a partition the sum of the weights before it, as the last column."""
+
+    def run(batches):
+        total = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column(batch.schema.get_field_index(weight))
+            before = pc.add(pc.subtract(pc.cumulative_sum(own), own), total)
+            total += pc.sum(own).as_py()
+            yield pa.RecordBatch.from_arrays([*batch.columns, before], names=[*batch.schema.names, "before"])
+
+    return run
+
+
+def numbered(df: DataFrame, order: list, name: str = "rn", weight: str | None = None) -> DataFrame:
+    """Rows numbered from 0 in global order, without a window over the whole table. With a weight, a row's number is the sum of
+    the weights before it. df must have no column of that name.
 
     Rows are range-partitioned and sorted, and written once; a row's number is its place in its partition plus the rows of
     the partitions before, of which there is one small row each. The written table makes both reads see the same partitions.
     """
+    at, part, rows, before = unused(df, "_at", "_part", "_rows", "_before")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    ranged = save(ranged.withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    if weight is None:
+        ranged = ranged.withColumn(at, F.monotonically_increasing_id())
+        ranged = save(ranged.withColumn(part, F.shiftright(at, 33)).withColumn(at, F.col(at).bitwiseAND((1 << 33) - 1)), "numbered")
+    else:
+        ranged = ranged.mapInArrow(_running(weight), T.StructType([*df.schema.fields, T.StructField(at, T.LongType())]))
+        ranged = save(ranged.withColumn(part, F.spark_partition_id().cast("long")), "numbered")
+    counts = ranged.groupBy(part).agg((F.count("*") if weight is None else F.sum(weight)).alias(rows))
     # as many rows as partitions, so one task may add them up and all may have them
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    out = ranged.withColumn("_part", part).join(F.broadcast(before), "_part")
-    return out.withColumn(name, F.col("_before") + place).drop("_at", "_part", "_before")
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(part, F.coalesce(F.sum(rows).over(earlier), F.lit(0)).alias(before))
+    return ranged.join(F.broadcast(counts), part).withColumn(name, F.col(before) + F.col(at)).drop(at, part, before)
+
 
+def _copies(rows: DataFrame, first: str, copies: str, name: str) -> DataFrame:
+    """Each row as often as `copies` says, numbered from `first` on. Rows with very many copies are dealt to several tasks."""
+    end, start = F.col(first) + F.col(copies) - 1, unused(rows, "_start")[0]
+    few = rows.where(F.col(copies) <= SEGMENT).withColumn(name, F.explode(F.sequence(F.col(first), end)))
+    many = rows.where(F.col(copies) > SEGMENT).withColumn(start, F.explode(F.sequence(F.col(first), end, F.lit(SEGMENT))))
+    many = many.repartition(start).withColumn(name, F.explode(F.sequence(F.col(start), F.least(F.col(start) + (SEGMENT - 1), end))))
+    return few.unionByName(many.drop(start))
 
-def row_order(df: DataFrame, keys: list[str] | None) -> list[Column]:
-    """Keys, or for a table without keys its row hash: equal rows have equal hashes, so ties cannot matter."""
-    return [F.col(k) for k in keys] if keys else [F.col("row_hash")]
 
+def placed(df: DataFrame, keys: list[str] | None, chunk_size: int, batch_size: int | None = None, full: bool = False) -> DataFrame:
+    """Rows with row_hash, batch_no, chunk_no and pos (within the chunk), in the order of the keys, or of the row hashes for a table without
+    keys. Only the keys stay beside these, or all columns with full; a table that has one of these columns is refused.
 
-def placed(df: DataFrame, keys: list[str] | None, chunk_size: int, batch_size: int | None = None) -> DataFrame:
-    """Rows with row_hash, batch_no, chunk_no and pos (within the chunk)."""
+    Only what is asked for is sorted and written. Equal rows of a table without keys are counted before the shuffle, so any number
+    of them is one row there.
+    """
+    clash = {c.lower() for c in df.columns} & set(PLACES)
+    if clash:
+        raise ValueError(f"the table has columns named like places: {sorted(clash)}")
     hashed = with_hash(df)
-    rows = numbered(hashed, row_order(hashed, keys))
+    rn, first, copies, row = unused(df, "_rn", "_first", "_copies", "_row")
+    if keys:
+        rows = hashed if full else hashed.select(*(f"`{k}`" for k in keys), "row_hash")
+        rows = numbered(rows, [F.col(f"`{k}`") for k in keys] + [F.col("row_hash")], rn)
+    else:
+        content = [F.first(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias(row)] if full and df.columns else []
+        rows = hashed.groupBy("row_hash").agg(*content, F.count("*").alias(copies))
+        rows = _copies(numbered(rows, [F.col("row_hash")], first, copies), first, copies, rn)
+        rows = rows.select("row_hash", rn, *([f"{row}.*"] if content else []))
     chunks = max(1, -(-(batch_size or 10 * chunk_size) // chunk_size))
-    rows = rows.withColumn("chunk_no", F.floor(F.col("rn") / chunk_size).cast("long")).withColumn("pos", (F.col("rn") % chunk_size).cast("long"))
-    return rows.withColumn("batch_no", F.floor(F.col("chunk_no") / chunks).cast("long")).drop("rn")
+    rows = rows.withColumn("chunk_no", F.floor(F.col(rn) / chunk_size).cast("long")).withColumn("pos", (F.col(rn) % chunk_size).cast("long"))
+    return rows.withColumn("batch_no", F.floor(F.col("chunk_no") / chunks).cast("long")).drop(rn)
+
+
+def _in_order(place: str, value: str) -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct(place, value))), lambda x: x.getField(value))
 
 
 def chunk_manifest(rows: DataFrame) -> DataFrame:
     """Rows (batch_no, chunk_no, n_rows, chunk_hash): SHA-256 over the row hashes in order. A group has chunk_size rows at most."""
-    hashes = F.transform(F.array_sort(F.collect_list(F.struct("pos", "row_hash"))), lambda x: x.getField("row_hash"))
-    return rows.groupBy("batch_no", "chunk_no").agg(F.count("*").alias("n_rows"), F.sha2(F.array_join(hashes, ""), 256).alias("chunk_hash"))
+    return rows.groupBy("batch_no", "chunk_no").agg(F.count("*").alias("n_rows"), F.sha2(F.array_join(_in_order("pos", "row_hash"), ""), 256).alias("chunk_hash"))
 
 
 def batch_manifest(chunks: DataFrame) -> DataFrame:
     """Rows (batch_no, n_chunks, n_rows, batch_hash): SHA-256 over chunk hashes in order, each followed by a bar."""
-    hashes = F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk_hash"))), lambda x: x.getField("chunk_hash"))
     return chunks.groupBy("batch_no").agg(F.count("*").alias("n_chunks"), F.sum("n_rows").alias("n_rows"),
-                                          F.sha2(F.concat(F.array_join(hashes, "|"), F.lit("|")), 256).alias("batch_hash"))
+                                          F.sha2(F.concat(F.array_join(_in_order("chunk_no", "chunk_hash"), "|"), F.lit("|")), 256).alias("batch_hash"))
+
+
+def root_hash(batches: DataFrame, fan: int = 4096) -> str:
+    """One SHA-256 over the batch hashes of a table in order, by way of one for each run of `fan` batches."""
+    runs = batches.groupBy(F.floor(F.col("batch_no") / fan).alias("run")).agg(F.sha2(F.array_join(_in_order("batch_no", "batch_hash"), "|"), 256).alias("h"))
+    return runs.agg(F.sha2(F.array_join(_in_order("run", "h"), "|"), 256)).first()[0]

@@ -11,17 +11,17 @@ from ..sources.store import Store
 
 
 def merge_batch(store: Store, name: str, batch: DataFrame, keys: list[str], order: str) -> str | None:
-    """Upsert a batch's last row for each key (by order) into the latest version, and capture it. Merging the same batch
-    again changes nothing, so a retried batch does no harm."""
+    """Upsert a batch's last row for each key (by order) into the latest version, and capture that table; others stay as they are. Merging the same
+    batch again changes nothing, so a retried batch does no harm."""
     if batch.isEmpty():
         return None
     rest = [c for c in batch.columns if c not in keys]
     last = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("x")).select(*keys, "x.*")
     if not store.exists():
         return store.create({name: last}, {name: keys}, message="stream")
-    tables = store.restore()
-    tables[name] = apply_changes(tables[name], last.withColumn("op", F.lit("U")), keys) if name in tables else last
-    return store.snapshot(tables, {name: keys}, message="stream")
+    there = store.find()["tables"]
+    merged = apply_changes(store.table(name), last.withColumn("op", F.lit("U")), keys) if name in there else last
+    return store.snapshot({name: merged}, {name: keys}, message="stream", keep_others=True)
 
 
 def capture(stream: DataFrame, store: Store, name: str, keys: list[str], order: str, checkpoint: str, **trigger) -> StreamingQuery:
