@@ -54,20 +54,25 @@ def depth(rows: int, tile: int) -> int:
 
 
 def _rotated(batches):
-    """Each vector scaled by a power of two, which is exact, its unit vector rotated, and the coordinates of each block that may be cut."""
+    """Each vector scaled by a power of two, which is exact, its unit vector rotated, and the coordinates of each block that may be cut (NaN where
+    a block has fewer)."""
     for batch in batches:
-        vecs, lead, rot, scaled = batch.column("vec").to_pylist(), [], [], []
-        for v in vecs:
-            v = np.array(v, float)
-            v = np.ldexp(v, -int(np.frexp(np.abs(v).max())[1]))
-            x = (v / np.sqrt(v @ v)) @ rotation(len(v))
-            scaled.append(v)
-            rot.append(x)
-            lead.append([x[a + c] if a + c < b else None for a, b in block_edges(len(v)) for c in range(CUTS)])
-        columns = {c: batch.column(c) for c in ("h1", "h2", "node", "copies", "dim", "label")}
-        lists = pa.list_(pa.float64())
-        columns |= {"vec": pa.array(scaled, lists), "rot": pa.array(rot, lists), "lead": pa.array(lead, lists)}
-        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        dims = batch.column("dim").to_numpy(zero_copy_only=False)
+        for dim in np.unique(dims).tolist():
+            part = batch.take(pa.array(np.flatnonzero(dims == dim)))
+            v = part.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
+            x = (v / np.sqrt((v * v).sum(axis=1))[:, None]) @ rotation(dim)
+            lead = np.full((len(x), BLOCKS * CUTS), np.nan)
+            for b, (first, last) in enumerate(block_edges(dim)):
+                n = min(CUTS, last - first)
+                lead[:, b * CUTS : b * CUTS + n] = x[:, first : first + n]
+            columns = {c: part.column(c) for c in ("h1", "h2", "node", "copies", "dim", "label")} | {"vec": _lists(v), "rot": _lists(x), "lead": _lists(lead)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
 
 
 def cells_of(x: np.ndarray, cuts: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,8 +179,12 @@ def compare_tiles(part: pd.DataFrame, min_cosine: float) -> pd.DataFrame:
     a, b = part[part["tile"] == first], part[part["tile"] == second]
     if not len(a) or not len(b):
         return pd.DataFrame({"h1": [], "h2": [], "node": [], "links": [], "least": []}).astype("int64")
-    table = lambda t, c: np.array(t[c].tolist(), float)
-    link = linked(table(a, "vec"), table(b, "vec"), table(a, "rot"), table(b, "rot"), block, min_cosine, first == second)
+    u, v = (np.stack(t["vec"].to_numpy()) for t in (a, b))
+    if block == ALL_BLOCKS:
+        x, y = ((w / np.sqrt((w * w).sum(axis=1))[:, None]) @ rotation(w.shape[1]) for w in (u, v))
+    else:
+        x, y = (np.stack(t["rot"].to_numpy()) for t in (a, b))
+    link = linked(u, v, x, y, block, min_cosine, first == second)
     if first == second:
         link |= link.T
     left, right = _least_reachable(link, a["node"].to_numpy(), b["node"].to_numpy())
@@ -238,7 +247,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     counts = save(places.groupBy(*cell).agg(owners.alias("own_rows"), (F.count("*") - owners).alias("other_rows"), F.count("*").alias("rows")), "cells")
     t = join_groups(places, counts, cell, "rows")
     t = meetings_of_tiles(t, F.struct("h1", "h2"), F.col("own"), F.col("own_rows"), F.col("other_rows"), tile)
-    t = t.join(classes.select("h1", "h2", "node", "copies", "vec", "rot"), ["h1", "h2"])
+    t = t.join(classes.select("h1", "h2", "node", "copies", "vec", "rot"), ["h1", "h2"]).withColumn("rot", F.when(F.col("block") != ALL_BLOCKS, F.col("rot")))
     found = t.groupBy(*cell, "i", "j").applyInPandas(lambda part: compare_tiles(part, min_cosine), "h1 long, h2 long, node long, links long, least long")
     found = save(found, "vector_links")
     drop(places, counts)
