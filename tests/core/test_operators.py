@@ -7,7 +7,7 @@ import __spark_entry__
 from tidelog import queries
 from tidelog.functions import canonical, text
 from tidelog.operators import diff, objects, validate
-from tidelog.plans import manifest
+from tidelog.plans import manifest, shared
 
 SF = "/root/testdata/sf0.001"
 
@@ -124,3 +124,14 @@ def test_statements():
         'CREATE TABLE "s"."t" ("id" bigint NOT NULL, "a""b" text DEFAULT \'\', CONSTRAINT "pk" PRIMARY KEY ("id"), CONSTRAINT "c" CHECK (id > 0))')
     assert text.create_index("t", {"name": "i", "columns": ["a"], "unique": True, "predicate": "a > 1"}) == 'CREATE UNIQUE INDEX "i" ON "t" USING btree ("a") WHERE a > 1'
     assert "ON UPDATE CASCADE ON DELETE NO ACTION" in text.add_foreign_key("t", {"name": "f", "columns": ["a"], "referenced_table": "u", "referenced_columns": ["b"], "update_action": "CASCADE"})
+
+
+def test_saved_tables_go_when_nothing_reads_them(spark):
+    before = shared.saved_paths()
+    with shared.scratch(spark):
+        a, b = shared.save(spark.range(3), "a"), shared.save(spark.range(4), "b")
+        shared.drop_unread(spark, shared.saved_paths()[len(before):], a.where("id > 0"))
+        assert a.count() == 3 and shared.saved_paths()[len(before):] == [a._saved_at] and b._saved_at not in shared.saved_paths()
+        kept = shared.save_result(lambda: shared.save(spark.range(5), "inner").where("id > 2"), spark, "kept")
+        assert kept.count() == 2 and len(shared.saved_paths()) == len(before) + 2
+    assert shared.saved_paths() == before and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"

@@ -9,8 +9,11 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: With this setting Spark deletes the shuffle files of a query at its end, and not when the driver happens to collect garbage.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is saved: Spark deletes the shuffle files of a query at its end, and not when the driver happens to collect garbage;
+#: and rows go to Python in batches that stay small when their texts are long.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "512"}
+#: Bytes of a row group of a saved table, which its writer holds, and its readers by columns.
+_ROW_GROUP = 16 << 20
 
 _OWN_DIR: dict[str, str] = {}
 _SAVED: list[str] = []
@@ -29,20 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[key]
 
 
+@contextmanager
+def _settings(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    try:
+        for k, v in _SETTINGS.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def save(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df once to the shared folder and read it back: later uses neither recompute it nor depend on the
     executors that made it, and the shuffle files of the way there go. release() deletes what was saved."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidelog-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEAN)
-        else:
-            spark.conf.set(_CLEAN, before)
+    with _settings(spark):
+        df.write.option("parquet.block.size", str(_ROW_GROUP)).parquet(path)
     _SAVED.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
@@ -58,6 +66,21 @@ def drop(*tables: DataFrame) -> None:
             _delete(spark, path)
 
 
+def saved_paths() -> list[str]:
+    """Where the tables are that save() wrote and nobody deleted yet."""
+    return list(_SAVED)
+
+
+def drop_unread(spark: SparkSession, paths: list[str], by: DataFrame) -> None:
+    """Delete saved tables, but those that `by` reads; a saved table's folder has a name that no other has."""
+    read = by.inputFiles()
+    for path in paths:
+        folder = f"/{path.rsplit('/', 1)[1]}/"
+        if path in _SAVED and not any(folder in f for f in read):
+            _SAVED.remove(path)
+            _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
