@@ -1,25 +1,44 @@
 """A corpus pipeline of four stages over documents: quality, language, near duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A stage that
-fits a model fits it on the documents it is given. run() writes each stage's rows to the shared folder and reads them as the next one's.
+fits a model fits it on the documents it is given, and deletes what stages before it have saved, unless its docs read that. run() writes each stage's rows to the shared folder and reads them as the next one's.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import jaccard, language, quality, queries
-from tidelog.llm.shared import save, save_result
+from tidelog.llm.shared import drop_unread, save, save_result, saved_paths
 
 #: Share of a text's most likely language below which the text is no document of any language.
 MIN_LANGUAGE_SHARE = 0.3
 #: Gain over equal trigram probabilities that a text in learned languages exceeds.
 MIN_LANGUAGE_GAIN = 0.0
-#: Column of a stage's row keys.
+#: Columns of a stage's own: a row's key, and a row's columns.
 KEY = "_row_key"
+ROW = "_row"
+
+
+#: Tables that stages have saved and that their results may read.
+_LEFT: list[str] = []
+
+
+def _stage(make):
+    """A stage that first deletes what earlier stages saved, unless its docs read it: write a stage's result before the next stage is called."""
+
+    @wraps(make)
+    def run(spark, docs, sf_dir):
+        drop_unread(spark, _LEFT, docs)
+        before = set(saved_paths())
+        out = make(spark, docs, sf_dir)
+        _LEFT[:] = [p for p in saved_paths() if p in _LEFT or p not in before]
+        return out
+
+    return run
 
 
 def _with_keys(docs: DataFrame) -> DataFrame:
@@ -36,20 +55,26 @@ def _keep(keyed: DataFrame, keys: DataFrame) -> DataFrame:
     return keyed.join(keys.select(F.col("id").alias(KEY)).distinct(), KEY, "left_semi")
 
 
+def _with_rows(docs: DataFrame) -> DataFrame:
+    """docs with a struct of each row's columns, which an operator hands through: its verdicts hold for rows, whatever their ids."""
+    return docs.select("*", F.struct(*docs.columns).alias(ROW))
+
+
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, their own and their host's. Rows with a null text go; rows with a null id or host are judged like others."""
-    keyed = _with_keys(docs)
-    return _keep(keyed, quality.judge(keyed, id_col=KEY).where("kept")).select(docs.columns)
+    return quality.judge(_with_rows(docs), carry=ROW).where("kept").select(f"{ROW}.*")
 
 
+@_stage
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows. Rows with a null or empty text go; without labelled rows nothing is known and all go."""
-    keyed = _with_keys(docs)
-    found = language.identify(keyed, language.fit(docs), id_col=KEY)
-    found = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SHARE) & (F.col("gain") > MIN_LANGUAGE_GAIN))
-    return _keep(keyed, found).select(docs.columns)
+    found = language.identify(_with_rows(docs), language.fit(docs), carry=ROW)
+    known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SHARE) & (F.col("gain") > MIN_LANGUAGE_GAIN)
+    return found.where(known).select(f"{ROW}.*")
 
 
+@_stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (five words, similarity 0.8), that with the smallest id, those without an id last;
     rows without words are no copies unless all their columns are equal."""
@@ -63,6 +88,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.where(own).unionByName(kept.where(~own).dropDuplicates([KEY])).select(docs.columns)
 
 
+@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 tokens, each row's own; null texts are a separator alone."""
     return queries.pack(docs).withColumnRenamed("id", "doc_id")

@@ -44,14 +44,14 @@ RATIO = 1.5
 #: Rows from which a signature is wide: a pair of documents that shares several wide ones is handed on at the least of them alone.
 WIDE = 64
 #: Pairs a task gathers before it hands them on.
-PAIRS = 200_000
+PAIRS = 50_000
 #: One document in SAMPLE tells which signatures may be hot: those of HOT or more documents among them, and of more than a share 1 / SHARE
 #: of their signatures, so that hot signatures are at most SHARE numbers.
 SAMPLE = 64
 HOT = 32
 SHARE = 1 << 19
 #: Words a worker remembers the hash of.
-MEMORY = 500_000
+MEMORY = 200_000
 #: Bytes of the longest of these words.
 MEMORY_LENGTH = 64
 

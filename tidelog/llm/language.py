@@ -121,11 +121,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(languages, counts)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
     """Rows (id, lang_pred, score, languages, gain): the language with the largest share, that share, all languages of the text with
     their shares, and how well they explain it: above 0 if better than equal probabilities of all trigrams would, which text in
     an unlearned language does not reach. und, 0 and a null gain for a null text or one without a letter. Repeated rows stay; other columns are not read.
-    The model is broadcast: languages times BINS numbers. Rows are judged one by one; nothing is shuffled.
+    The model is broadcast: languages times BINS numbers. Rows are judged one by one; nothing is shuffled. With `carry`, a struct of the row's
+    columns that has the text as its field text_col, that column stays with its row, so that rows can be kept without a join.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -143,4 +144,4 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType
     fields = pa.schema([("id", to_arrow_type(kind)), ("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.map_(pa.string(), pa.float64())), ("gain", pa.float64())])
-    return map_texts(docs, id_col, text_col, f"id {kind.simpleString()}, lang_pred string, score double, languages map<string,double>, gain double", fields, make)
+    return map_texts(docs, id_col, text_col, f"id {kind.simpleString()}, lang_pred string, score double, languages map<string,double>, gain double", fields, make, carry)

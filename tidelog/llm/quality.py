@@ -39,8 +39,8 @@ def _windows(words: Column, hashed: bool) -> Column:
     return F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1))), body)).otherwise(F.array())
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Rows (id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, failed).
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", carry: str | None = None) -> DataFrame:
+    """Rows (id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, failed), and the column `carry` as it is.
 
     base_failed are the contract's two rules (words, repeats); failed adds those on symbols, repeated lines and word length. A null text counts as a text without words (all counts 0, base_failed true). Repeated rows stay separate
     rows. Other columns of docs are not read.
@@ -50,10 +50,11 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     least(gap, 5) counts each covered word once. Work per text is n log n, whatever its repeats.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), text.alias("text"))
-    d = d.select("id", "host", words_of(F.col("text")).alias("w"), _lines_with_words(F.col("text")).alias("lines"),
+    own = ["id", "host"] + ([carry] if carry else [])
+    d = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), *own[2:], text.alias("text"))
+    d = d.select(*own, words_of(F.col("text")).alias("w"), _lines_with_words(F.col("text")).alias("lines"),
                  (F.length("text") - F.length(F.regexp_replace("text", f"[{SYMBOLS}]+", ""))).cast("long").alias("n_symbols"))
-    d = d.select("id", "host", "w", "n_symbols",
+    d = d.select(*own, "w", "n_symbols",
                  F.size("w").cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"),
                  F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
                  (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -65,11 +66,11 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     # element i of the 0-based s is element i+1 for element_at; 0 is no index, so the first one asks for itself alone
     repeated = F.transform(F.filter("s", lambda x, i: F.when(i > 0, near(x, F.greatest(i, F.lit(1)), 0)).otherwise(False) | near(x, i + 1, 1)),
                            lambda x: x.getField("i"))
-    d = d.select("id", "host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.array_sort(repeated).alias("p"))
+    d = d.select(*own, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.array_sort(repeated).alias("p"))
     gaps = F.zip_with("p", F.slice("p", 2, F.greatest(F.size("p"), F.lit(1))),
                       lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
     n_repeat = F.when(F.size("p") > 0, F.aggregate(gaps, F.lit(0), lambda acc, x: acc + x)).otherwise(0)
-    d = d.select("id", "host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
+    d = d.select(*own, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
                  F.coalesce(n_repeat, F.lit(0)).cast("long").alias("n_repeat_words"))
     d = d.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words"))
     return d.withColumn("failed", F.expr(f"""base_failed OR 100 * n_symbols > {SYMBOL_PERCENT} * n_words OR 100 * n_dup_lines > {DUP_LINE_PERCENT} * n_lines
@@ -94,16 +95,18 @@ def host_rates(measured: DataFrame, by: str = "failed") -> DataFrame:
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-          host_limit: float = HOST_LIMIT, by: str = "failed") -> DataFrame:
+          host_limit: float = HOST_LIMIT, by: str = "failed", carry: str | None = None) -> DataFrame:
     """measure() plus host_shrunk, host_limit (double) and kept (boolean): a document goes if its own rules fail or its host's
     shrunk failure rate is above the limit, which lies a share host_limit of the way from the corpus' rate to 1. Null hosts are one host; repeated
     rows count each, for the host too; an empty table gives an empty result. The column `by` says which rules count, for the document
-    and for its host: all of them (failed), or the contract's alone (base_failed).
+    and for its host: all of them (failed), or the contract's alone (base_failed). The column `carry` stays with its row, so
+    that rows can be kept without a join.
 
     The measures are saved once and read twice. Rates are aggregated before the shuffle, and the join back is
     on the host: a host with a third of all rows is a skewed join side that the adaptive planner splits.
     """
-    m = save(measure(docs, id_col, text_col, host_col), "quality")
-    rates = host_rates(m, by).select(F.col("host").alias("rate_host"), F.col("shrunk").alias("host_shrunk"), (F.col("corpus") + host_limit * (1 - F.col("corpus"))).alias("host_limit"))
+    m = save(measure(docs, id_col, text_col, host_col, carry), "quality")
+    # saved, so that the planner knows its size and does not shuffle the documents for a small table of hosts
+    rates = save(host_rates(m, by), "hosts").select(F.col("host").alias("rate_host"), F.col("shrunk").alias("host_shrunk"), (F.col("corpus") + host_limit * (1 - F.col("corpus"))).alias("host_limit"))
     out = m.join(rates, F.col("host").eqNullSafe(F.col("rate_host")), "left").drop("rate_host")
     return out.withColumn("kept", ~F.col(by) & F.coalesce(F.col("host_shrunk") <= F.col("host_limit"), F.lit(True)))

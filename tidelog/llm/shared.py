@@ -9,9 +9,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.shared import drop, release, save, save_result, shared_dir
+from ..plans.shared import drop, drop_unread, release, save, save_result, saved_paths, shared_dir
 
-__all__ = ["connected_components", "drop", "held_out", "join_groups", "lower_ascii", "meetings_of_tiles", "release", "sampled", "save", "save_result", "shared_dir", "ship"]
+__all__ = ["connected_components", "drop", "drop_unread", "held_out", "join_groups", "lower_ascii", "meetings_of_tiles", "release", "sampled", "save", "save_result", "saved_paths", "shared_dir", "ship"]
 
 _SHIPPED: set[str] = set()
 
