@@ -163,3 +163,36 @@ def test_three_limits_close_sequences_of_conversations(spark):
         closed["segments"] += total < 1024 and len(pieces) == 6
         closed["loss"] += total < 1024 and loss >= 200 and len(pieces) < 6
     assert min(closed.values()) > 0, closed
+
+
+def test_every_word_is_counted(spark):
+    import regex
+
+    once = ["qa" * k for k in range(3, 40)]  # each in one piece of one text; some are longer than a lexicon's usual word
+    texts = ["the cat, " + w + "! the" for w in once] + ["a\nb the", None, "", "rare (rare-rare"] + ["common " * 5] * 3
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    counts = {}
+    for text in texts:
+        for w in (w for piece in (text or "").split(" ") for w in regex.findall(tokens.PATTERN, " " + piece)):
+            counts[w] = counts.get(w, 0) + 1
+    assert set(tokens.frequent_words(docs)) >= {w for w in counts if not w.isspace()} >= {" " + w for w in once}
+    # a word in many tasks counts as much as one that is as often in a single task; a long word as often as others comes after them
+    spread = spark.createDataFrame([(k, f"often {'x' * 100} {'q' * (k + 1)}") for k in range(40)], "doc_id long, text string").repartition(40)
+    assert tokens.frequent_words(spread, n=1) == [" often"] and set(tokens.frequent_words(spread, n=4)) == {" often", " " + "x" * 100}
+
+
+def test_letters_are_letters_of_the_pattern():
+    import regex
+
+    letter = regex.compile(r"\p{L}").match
+    assert all(letter(c) for c in map(chr, range(0x110000)) if c.isalpha())
+
+
+def test_a_lexicon_remembers_beginnings(encoder):
+    words = {w: [k] for k, w in enumerate([b"a", b"ab", b"abcd", b"abcde", b"abcdef", b"abce", b"b"])}
+    lexicon = tokens.Lexicon(tokens.Lexicon.build(words))
+    for _ in range(2):
+        for w in [*words, b"", b"abc", b"abcdefg", b"abcdx", b"abx", b"abxxxx"]:
+            found = lexicon.find(w)
+            assert (None if found is None else list(array("I", found))) == words.get(w)
+    assert 0 < len(lexicon.begun) <= tokens.BEGINNINGS

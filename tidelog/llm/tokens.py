@@ -1,6 +1,6 @@
 """Byte-level BPE with a lexicon of frequent words.
 
-Frequent words of the corpus are merged once and compiled into a minimal acyclic transducer: words share their prefixes and
+All words of the corpus are counted; frequent ones are merged once and compiled into a minimal acyclic transducer: words share their prefixes and
 suffixes, and the outputs on the path of a word add up to its number, which leads to its ids. Executors map the automaton
 into memory. Other words are merged exactly.
 """
@@ -13,7 +13,7 @@ import mmap
 import struct
 import tempfile
 from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 import regex
@@ -32,8 +32,12 @@ MEMORY = 250_000
 MEMORY_LENGTH = 256
 WORD_MEMORY = 100_000
 COUNTED = 400_000
-#: Characters of texts whose chunks a task holds at a time while counting.
+#: Characters of texts whose chunks a task holds at a time while counting, and chunks that it cuts into words at a time.
 HELD = 1 << 26
+CUT = 4096
+#: Bytes of a word's beginning, and beginnings that a lexicon remembers.
+_BEGUN = 4
+BEGINNINGS = 50_000
 #: Bytes from which a word is merged with a heap.
 _LONG = 48
 _NONE = 1 << 60
@@ -65,14 +69,17 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             a, b = (as_bytes(x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
             self.merges[ids[a] << 20 | ids[b]] = rank << 20 | ids[a + b]
+        # the merges of two bytes
+        self.byte_ranks = [[self.merges.get(a << 20 | b, _NONE) for b in self.byte_id] for a in self.byte_id]
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: again and again the pair of lowest rank is joined, the first of equals first."""
-        ids, get = [self.byte_id[b] for b in word], self.merges.get
+        get, byte_id, byte_ranks = self.merges.get, self.byte_id, self.byte_ranks
+        ids = [byte_id[b] for b in word]
         if len(ids) > _LONG:
             return self._merge_long(ids)
         # the pairs' ranks, each with the id it makes; a merge changes its two neighbours alone
-        ranks = [get(a << 20 | b, _NONE) for a, b in zip(ids, ids[1:])]
+        ranks = [byte_ranks[a][b] for a, b in zip(word, word[1:])]
         while ranks and (best := min(ranks)) != _NONE:
             k = ranks.index(best)
             ids[k] = new = best & 0xFFFFF
@@ -127,6 +134,7 @@ class Lexicon:
         self.first, self.target, self.output = take(states + 1, "I"), take(edges, "I"), take(edges, "I")
         self.start, self.ids, self.label = take(words + 1, "I"), take(ids, "I"), bytes(take(edges, "B"))
         self.words = words
+        self.begun: dict[bytes, tuple[int, int, int] | None] = {}
 
     @classmethod
     def build(cls, entries: dict[bytes, list[int]]) -> bytes:
@@ -179,19 +187,32 @@ class Lexicon:
         head = cls._HEAD.pack(len(states), len(target), len(ordered), len(ids))
         return head + b"".join(x.tobytes() for x in (first, target, output, start, ids)) + bytes(label)
 
-    def find(self, word: bytes) -> bytes | None:
-        """The word's ids as little-endian 32-bit numbers, or None."""
+    def _walk(self, word: bytes, state: int, number: int, final: int) -> tuple[int, int, int] | None:
+        """State, words passed, and whether a word ends there, after the bytes of word; None if no word goes on like that."""
         first, target, label, output = self.first, self.target, self.label, self.output
-        state, number, final = len(first) - 2, 0, 0
         for byte in word:
-            if final:
-                number += 1
+            number += final
             at = label.find(byte, first[state], first[state + 1])
             if at < 0:
                 return None
             number += output[at]
-            state, final = target[at] >> 1, target[at] & 1
-        return bytes(self.ids[self.start[number] : self.start[number + 1]]) if final else None
+            state = target[at]
+            state, final = state >> 1, state & 1
+        return state, number, final
+
+    def find(self, word: bytes) -> bytes | None:
+        """The word's ids as little-endian 32-bit numbers, or None. Where words' first bytes lead to is remembered."""
+        begun, start = self.begun, word[:_BEGUN]
+        if start not in begun:
+            if len(begun) >= BEGINNINGS:
+                begun.clear()
+            begun[start] = self._walk(start, len(self.first) - 2, 0, 0)
+        found = begun[start]
+        if found and len(word) > _BEGUN:
+            found = self._walk(word[_BEGUN:], *found)
+        if not found or not found[2]:
+            return None
+        return bytes(self.ids[self.start[found[1]] : self.start[found[1] + 1]])
 
 
 class _Memory(dict):
@@ -216,15 +237,17 @@ class ChunkEncoder:
     """Ids of whole texts as little-endian 32-bit numbers.
 
     Between two characters that are not white space, a single space begins a new token and a single newline is one. So a text is cut
-    there, and the ids of the chunks are remembered. A text with any other white space is encoded in one go.
+    there, and the ids of the chunks are remembered. A text with any other white space is encoded in one go. encode_word, if given, is
+    for chunks of letters alone, which are one word.
     """
 
-    def __init__(self, encode_plain, added: dict[str, int], newline: int):
+    def __init__(self, encode_plain, added: dict[str, int], newline: int, encode_word=None):
         self.plain, self.added = encode_plain, added
         # None marks chunks that cannot stand alone
         alone = lambda c: bool(c) and not c[0].isspace() and not c[-1].isspace()
-        self.head = _Memory(lambda c: encode_plain(c) if alone(c) else None)
-        self.tail = _Memory(lambda c: encode_plain(" " + c) if alone(c) else None)
+        encode_word = encode_word or encode_plain
+        self.head = _Memory(lambda c: encode_word(c) if c.isalpha() else encode_plain(c) if alone(c) else None)
+        self.tail = _Memory(lambda c: encode_word(" " + c) if c.isalpha() else encode_plain(" " + c) if alone(c) else None)
         self.newline = struct.pack("<I", newline)
         self.split = regex.compile("|".join(f"({regex.escape(t)})" for t in sorted(added, key=len, reverse=True))) if added else None
 
@@ -266,16 +289,16 @@ def lexicon_encoder(vocab_data: bytes, lexicon_data: bytes) -> tuple[ChunkEncode
             return lexicon.find(b := w.encode()) or array("I", vocab.merge(b)).tobytes()
 
         word = _Memory(ids_of, WORD_MEMORY).__getitem__
-        _WORKER[key] = ChunkEncoder(lambda s: b"".join(map(word, find_words(s))), vocab.added, vocab.byte_id[10]), vocab
+        _WORKER[key] = ChunkEncoder(lambda s: b"".join(map(word, find_words(s))), vocab.added, vocab.byte_id[10], word), vocab
     return _WORKER[key]
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", n: int = LEXICON_WORDS) -> list[str]:
-    """At most n of the most frequent words (pre-tokens) of all whole texts; n bounds what is collected.
+    """The most frequent words (pre-tokens) of all whole texts, at most n; n bounds what is collected, as a word over _LONG characters counts
+    as several, and is chosen by its count for each of them.
 
-    Each task counts what stands between blanks, then the words of its distinct pieces, and leaves out pieces that it saw once: a count is
-    short by what a word has in such pieces. A small histogram of the counts tells from which count on at most n words remain.
-    The lexicon only saves time; no result depends on it.
+    Each task counts what stands between blanks, then the words of each distinct piece, those seen once included. A small histogram of the
+    counts tells from which count on at most n words remain. The lexicon only saves time; no result depends on it.
     """
     ship(docs.sparkSession)
 
@@ -283,14 +306,19 @@ def frequent_words(docs: DataFrame, text_col: str = "text", n: int = LEXICON_WOR
         find_words, chunks, held = regex.compile(PATTERN).findall, Counter(), 0
 
         def flush():
-            words = Counter()
+            words, alike = Counter(), defaultdict(list)
             for chunk, k in chunks.items():
-                if k > 1:
-                    for w in find_words(" " + chunk):
-                        words[w] += k
+                alike[k].append(chunk)
             chunks.clear()
-            kept = [(w, k) for w, k in words.items() if len(w) <= _LONG]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([k for _, k in kept], pa.int64())], names=["word", "n"])
+            for k, part in alike.items():
+                for at in range(0, len(part), CUT):
+                    found = find_words(" " + " ".join(part[at : at + CUT]))
+                    if k == 1:
+                        words.update(found)
+                    else:
+                        for w in found:
+                            words[w] += k
+            return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
 
         for (part,) in texts(batches, "text"):
             for text in part:
@@ -301,11 +329,12 @@ def frequent_words(docs: DataFrame, text_col: str = "text", n: int = LEXICON_WOR
                 held = 0
         yield flush()
 
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long")
-    counted = save(counted.groupBy("word").agg(F.sum("n").alias("n")).withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "words")
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = counted.withColumn("slots", F.greatest(F.ceil(F.length("word") / _LONG), F.lit(1)))
+    counted = save(counted.withColumn("level", F.floor(F.log2(F.col("n") / F.col("slots")) * 16).cast("int")), "words")
     least, total = None, 0
-    for row in sorted(counted.groupBy("level").count().collect(), reverse=True):
-        total += row["count"]
+    for row in sorted(counted.groupBy("level").agg(F.sum("slots").alias("slots")).collect(), reverse=True):
+        total += row.slots
         if total > n:
             break
         least = row.level
